@@ -84,22 +84,18 @@ def headline_cards(star: Star) -> DataFrame:
 # --- sellers -------------------------------------------------------------------
 
 
-def _ranked_sellers(star: Star, method: str, into: str) -> DataFrame:
-    return rank_by(
-        seller_totals(star), "total_sales", into, method=method, rows_bound=star.sellers.count()
-    )
-
-
 def seller_rank(star: Star) -> DataFrame:
     """Sellers by sales, ties sharing a rank, with their share of the total."""
     shared = share_of_total(seller_totals(star), "total_sales", "pct_of_total")
     ranked = rank_by(shared, "total_sales", "sales_rank", rows_bound=star.sellers.count())
-    return with_double(ranked, "total_sales").orderBy("sales_rank", "seller_id")
+    columns = ("seller_id", "seller_name", "total_sales", "sales_rank", "pct_of_total")
+    return with_double(ranked, "total_sales").select(*columns).orderBy("sales_rank", "seller_id")
 
 
 def seller_dense_rank(star: Star) -> DataFrame:
     """Sellers by sales without gaps after ties."""
-    ranked = _ranked_sellers(star, "dense", "sales_rank")
+    bound = star.sellers.count()
+    ranked = rank_by(seller_totals(star), "total_sales", "sales_rank", method="dense", rows_bound=bound)
     return with_double(ranked, "total_sales").orderBy("sales_rank", "seller_id")
 
 

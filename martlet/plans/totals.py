@@ -45,7 +45,8 @@ def seller_totals(star: Star) -> DataFrame:
         per_seller = known.groupBy("seller_id").agg(exact_sum(F.col("net")).alias("total_sales"))
     else:
         per_seller = order_values(star).groupBy("seller_id").agg(F.sum("order_value").alias("total_sales"))
-    return per_seller.join(star.sellers.select("seller_id", "seller_name"), "seller_id")
+    named = per_seller.join(star.sellers.select("seller_id", "seller_name"), "seller_id")
+    return named.select("seller_id", "seller_name", "total_sales")
 
 
 def product_totals(star: Star, price: str = "charged") -> DataFrame:
@@ -63,7 +64,8 @@ def product_totals(star: Star, price: str = "charged") -> DataFrame:
     products = star.products.select("product_id", "product_name", "category_id", "list_price")
     if price == "charged":
         per_product = star.lines.groupBy("product_id").agg(exact_sum(F.col("net")).alias("total_sales"))
-        return per_product.join(products, "product_id").drop("list_price")
+        named = per_product.join(products, "product_id")
+        return named.select("product_id", "product_name", "category_id", "total_sales")
     kept = F.col("quantity") * (F.lit(1.0) - F.col("discount"))
     per_product = star.lines.groupBy("product_id").agg(exact_sum(kept).cast("decimal(24,4)").alias("kept"))
     return per_product.join(products, "product_id").select(
@@ -80,7 +82,8 @@ def category_totals(star: Star, price: str = "charged") -> DataFrame:
     per_category = (
         product_totals(star, price).groupBy("category_id").agg(F.sum("total_sales").alias("total_sales"))
     )
-    return per_category.join(star.categories.select("category_id", "category_name"), "category_id")
+    named = per_category.join(star.categories.select("category_id", "category_name"), "category_id")
+    return named.select("category_id", "category_name", "total_sales")
 
 
 def customer_totals(star: Star) -> DataFrame:
@@ -90,4 +93,5 @@ def customer_totals(star: Star) -> DataFrame:
         .groupBy("customer_id")
         .agg(F.count("*").alias("order_count"), F.sum("order_value").alias("total_spent"))
     )
-    return per_customer.join(star.customers.select("customer_id", "customer_name"), "customer_id")
+    named = per_customer.join(star.customers.select("customer_id", "customer_name"), "customer_id")
+    return named.select("customer_id", "customer_name", "order_count", "total_spent")
