@@ -36,6 +36,8 @@ def main() -> None:
             "spark.ui.enabled": "false",
             "spark.driver.memory": "8g",
             "spark.sql.shuffle.partitions": cpus,
+            # Shuffles here are a few MB: let them still use all cores.
+            "spark.sql.adaptive.coalescePartitions.minPartitionSize": "200k",
             "spark.ui.showConsoleProgress": "false",
         },
     )

@@ -36,18 +36,18 @@ def money(amount: Column) -> Column:
     return amount.cast(MONEY)
 
 
-def exact_sum(amount: Column, scale: int = 4) -> Column:
-    """Exact sum of double amounts at ``scale`` decimals, as ``decimal(28, scale)``.
+def exact_sum(amount: str, scale: int = 4) -> Column:
+    """Exact sum of a double SQL expression at ``scale`` decimals, as ``decimal(28, scale)``.
 
     The scaled amounts are added as two bigint sums (high and low bits), which
     stay in generated code and cannot overflow before 8e12 rows; a plain decimal
     sum costs about three times as much per row.
     """
-    units = F.rint(amount.cast("double") * 10**scale).cast("bigint")
-    high = F.sum(F.shiftright(units, _LOW_BITS)).cast("decimal(24,0)")
-    low = F.sum(units.bitwiseAND((1 << _LOW_BITS) - 1)).cast("decimal(24,0)")
-    whole = (high * F.lit(1 << _LOW_BITS).cast("decimal(7,0)") + low).cast("decimal(28,0)")
-    return (whole * F.lit(10**-scale).cast(f"decimal({scale},{scale})")).cast(f"decimal(28,{scale})")
+    units = f"CAST(rint(CAST({amount} AS DOUBLE) * {10**scale}) AS BIGINT)"
+    high = f"CAST(sum(shiftright({units}, {_LOW_BITS})) AS DECIMAL(24,0))"
+    low = f"CAST(sum({units} & {(1 << _LOW_BITS) - 1}) AS DECIMAL(24,0))"
+    whole = f"CAST({high} * {1 << _LOW_BITS}BD + {low} AS DECIMAL(28,0))"
+    return F.expr(f"CAST({whole} * {10**-scale:.{scale}f}BD AS DECIMAL(28,{scale}))")
 
 
 def as_double(amount: Column) -> Column:

@@ -32,21 +32,27 @@ def _joined(inner: Column, before: Column) -> Column:
     return F.coalesce(inner + before, inner, before)
 
 
-def _within_one_task(groups: DataFrame, order: Column) -> DataFrame:
-    upto = W.orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return groups.select(
-        "_key",
-        F.sum("_weight").over(upto).alias("_upto"),
-        F.sum("_rows").over(upto).alias("_rows_upto"),
-        F.row_number().over(W.orderBy(order)).cast("bigint").alias("_position"),
-        "_weight",
-        "_rows",
+def _in_one_task(df: DataFrame, order: str, value: Column, descending: bool) -> DataFrame:
+    by_value = W.orderBy(sort_key(order, descending))
+    upto = by_value.rangeBetween(W.unboundedPreceding, W.currentRow)
+    ties = W.partitionBy(order)
+    return df.select(
+        "*",
+        F.sum(value).over(upto).alias("_upto"),
+        F.count("*").over(upto).alias("_rows_upto"),
+        F.dense_rank().over(by_value).cast("bigint").alias("_position"),
+        F.sum(value).over(ties).alias("_weight"),
+        F.count("*").over(ties).alias("_rows"),
     )
 
 
-def _in_slices(groups: DataFrame, order: Column, slices: int) -> DataFrame:
+def _in_slices(df: DataFrame, order: str, value: Column, descending: bool, slices: int) -> DataFrame:
+    key = sort_key("_key", descending)
+    groups = df.groupBy(F.col(order).alias("_key")).agg(
+        F.sum(value).alias("_weight"), F.count("*").alias("_rows")
+    )
     placed = materialise(
-        groups.repartitionByRange(slices, order).withColumn("_slice", F.spark_partition_id()),
+        groups.repartitionByRange(slices, key).withColumn("_slice", F.spark_partition_id()),
         "prefix-slices",
     )
     earlier = W.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
@@ -60,10 +66,10 @@ def _in_slices(groups: DataFrame, order: Column, slices: int) -> DataFrame:
             F.sum("n").over(earlier).alias("_groups_before"),
         )
     )
-    inside = W.partitionBy("_slice").orderBy(order)
+    inside = W.partitionBy("_slice").orderBy(key)
     upto = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
     # One row per slice: the broadcast is bounded by the number of slices.
-    return placed.join(F.broadcast(before), "_slice").select(
+    sums = placed.join(F.broadcast(before), "_slice").select(
         "_key",
         _joined(F.sum("_weight").over(upto), F.col("_weight_before")).alias("_upto"),
         _joined(F.sum("_rows").over(upto), F.col("_rows_before")).alias("_rows_upto"),
@@ -71,6 +77,7 @@ def _in_slices(groups: DataFrame, order: Column, slices: int) -> DataFrame:
         "_weight",
         "_rows",
     )
+    return df.join(sums, df[order].eqNullSafe(sums["_key"])).drop("_key")
 
 
 def ordered_prefix(
@@ -91,34 +98,14 @@ def ordered_prefix(
     ``_weight``     sum of ``weight`` over the rows tied with this one, itself included
     ``_rows``       number of those rows
 
-    ``rows_bound`` is a known upper bound of the row count; without a small one
-    the form is chosen by the counted number of distinct sort values.
+    ``rows_bound`` is a known upper bound of the row count. Without a small one the
+    rows are written once and counted, and the count decides.
     """
-    spark = df.sparkSession
     value = F.lit(None).cast("bigint") if weight is None else F.col(weight)
     if rows_bound is not None and rows_bound <= single_task_rows:
-        by_value = W.orderBy(sort_key(order, descending))
-        upto = by_value.rangeBetween(W.unboundedPreceding, W.currentRow)
-        ties = W.partitionBy(order)
-        return df.select(
-            "*",
-            F.sum(value).over(upto).alias("_upto"),
-            F.count("*").over(upto).alias("_rows_upto"),
-            F.dense_rank().over(by_value).cast("bigint").alias("_position"),
-            F.sum(value).over(ties).alias("_weight"),
-            F.count("*").over(ties).alias("_rows"),
-        )
+        return _in_one_task(df, order, value, descending)
     df = materialise(df, "prefix-rows")
-    groups = materialise(
-        df.groupBy(F.col(order).alias("_key")).agg(
-            F.sum(value).alias("_weight"),
-            F.count("*").alias("_rows"),
-        ),
-        "prefix-groups",
-    )
-    key = sort_key("_key", descending)
-    if groups.count() <= single_task_rows:
-        sums = _within_one_task(groups, key)
-    else:
-        sums = _in_slices(groups, key, slices or int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return df.join(sums, df[order].eqNullSafe(sums["_key"])).drop("_key")
+    if df.count() <= single_task_rows:
+        return _in_one_task(df, order, value, descending)
+    slices = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _in_slices(df, order, value, descending, slices)

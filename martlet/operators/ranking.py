@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from martlet.operators.prefix import SINGLE_TASK_ROWS, ordered_prefix, sort_key
+from martlet.operators.prefix import SINGLE_TASK_ROWS, ordered_prefix
 
 
 def rank_by(
@@ -26,10 +26,9 @@ def rank_by(
     """
     if method not in ("rank", "dense"):
         raise ValueError(f"unknown rank method {method!r}")
-    if rows_bound is not None and rows_bound <= single_task_rows:
-        rank = F.rank() if method == "rank" else F.dense_rank()
-        return df.withColumn(into, rank.over(W.orderBy(sort_key(order, descending))).cast("bigint"))
-    sums = ordered_prefix(df, order, descending=descending, single_task_rows=single_task_rows)
+    sums = ordered_prefix(
+        df, order, descending=descending, rows_bound=rows_bound, single_task_rows=single_task_rows
+    )
     rank = F.col("_position") if method == "dense" else F.col("_rows_upto") - F.col("_rows") + 1
     return sums.select(*df.columns, rank.cast("bigint").alias(into))
 
@@ -45,10 +44,9 @@ def running_total(
     single_task_rows: int = SINGLE_TASK_ROWS,
 ) -> DataFrame:
     """Sum of ``value`` over all rows up to this one; tied rows share the sum."""
-    if rows_bound is not None and rows_bound <= single_task_rows:
-        upto = W.orderBy(sort_key(order, descending)).rangeBetween(W.unboundedPreceding, W.currentRow)
-        return df.withColumn(into, F.sum(value).over(upto))
-    sums = ordered_prefix(df, order, value, descending=descending, single_task_rows=single_task_rows)
+    sums = ordered_prefix(
+        df, order, value, descending=descending, rows_bound=rows_bound, single_task_rows=single_task_rows
+    )
     return sums.select(*df.columns, F.col("_upto").alias(into))
 
 

@@ -70,14 +70,18 @@ def best_month(star: Star) -> DataFrame:
 
 def headline_cards(star: Star) -> DataFrame:
     """The key figures and the best month as display texts, one row."""
-    kpis = kpi_summary(star)
-    best = best_month(star)
-    return kpis.select(
+    best = best_month(star).select(
+        F.struct(
+            month_label(F.col("month")).alias("month"), currency_label(F.col("total_sales")).alias("sales")
+        )
+    )
+    cards = kpi_summary(star).withColumn("best", best.scalar())
+    return cards.select(
         currency_label(F.col("total_revenue")).alias("revenue_label"),
         F.format_number("total_orders", 0).alias("orders_label"),
         currency_label(F.col("avg_order_value")).alias("avg_order_label"),
-        best.select(month_label(F.col("month"))).scalar().alias("best_month_label"),
-        best.select(currency_label(F.col("total_sales"))).scalar().alias("best_month_sales_label"),
+        F.col("best.month").alias("best_month_label"),
+        F.col("best.sales").alias("best_month_sales_label"),
     )
 
 
@@ -200,9 +204,13 @@ def flagged_orders(star: Star) -> DataFrame:
     return flag_above_average(values, "order_value")
 
 
-def order_value_flag(star: Star) -> DataFrame:
-    ordered = flagged_orders(star).orderBy(F.col("order_value").desc_nulls_first(), "order_id")
-    return with_double(ordered, "order_value")
+def order_value_flag(star: Star, sort: bool = True) -> DataFrame:
+    """Every order with its value and label, largest first. ``sort=False`` saves the
+    global sort when the result is only written to a table."""
+    flagged = flagged_orders(star)
+    if sort:
+        flagged = flagged.orderBy(F.col("order_value").desc_nulls_first(), "order_id")
+    return with_double(flagged, "order_value")
 
 
 def _segments(star: Star) -> DataFrame:
@@ -219,10 +227,11 @@ def _by_spending(df: DataFrame) -> DataFrame:
     return df.orderBy(F.col("total_spent").desc_nulls_first(), "customer_id")
 
 
-def customer_segments(star: Star) -> DataFrame:
+def customer_segments(star: Star, sort: bool = True) -> DataFrame:
     """Customers by spending; the label compares the customer's average order with
     the average over all orders."""
-    return with_double(_by_spending(_segments(star)), "total_spent")
+    segments = _segments(star)
+    return with_double(_by_spending(segments) if sort else segments, "total_spent")
 
 
 def top_customers(star: Star, n: int = 15) -> DataFrame:

@@ -49,7 +49,7 @@ def dim_product(star: Star) -> DataFrame:
 def dim_customer(star: Star) -> DataFrame:
     """Customers with their place."""
     customers = star.customers
-    if star.places is not None:
+    if star.has("places"):
         customers = customers.join(star.places, "place_id", "left")
     return _attributes(
         customers,
@@ -73,7 +73,7 @@ def dim_category(star: Star) -> DataFrame:
 
 
 def dim_shipper(star: Star) -> DataFrame:
-    if star.shippers is None:
+    if not star.has("shippers"):
         raise ValueError("the source has no shippers")
     return star.shippers.select("shipper_id", "shipper_name")
 
@@ -147,9 +147,9 @@ def revenue_by(star: Star, *by: str) -> DataFrame:
     def measures(lines: DataFrame, columns: list[str]) -> DataFrame:
         return lines.groupBy(*columns).agg(
             F.count("*").alias("line_count"),
-            exact_sum(F.col("quantity")).alias("quantity"),
-            exact_sum(F.col("gross")).alias("gross_revenue"),
-            exact_sum(F.col("net")).alias("net_revenue"),
+            exact_sum("quantity").alias("quantity"),
+            exact_sum("gross").alias("gross_revenue"),
+            exact_sum("net").alias("net_revenue"),
         )
 
     def added(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -164,7 +164,7 @@ def revenue_by(star: Star, *by: str) -> DataFrame:
         rows = added(measures(star.lines, ["order_id"]).join(orders, "order_id"), keys)
     if "customer_id" in keys:
         customers = star.customers
-        if star.places is not None and {"nation", "region"} & set(by):
+        if star.has("places") and {"nation", "region"} & set(by):
             customers = customers.join(star.places, "place_id")
         rows = rows.join(customers, "customer_id")
     if "product_id" in keys:
@@ -187,9 +187,9 @@ def revenue_by(star: Star, *by: str) -> DataFrame:
 def avg_price_discount(star: Star) -> DataFrame:
     """Average unit price and discount per category: rates are averaged, never added up."""
     per_product = star.lines.groupBy("product_id").agg(
-        exact_sum(F.col("unit_price"), 8).alias("price"),
+        exact_sum("unit_price", 8).alias("price"),
         F.count("unit_price").alias("prices"),
-        exact_sum(F.col("discount"), 8).alias("discount"),
+        exact_sum("discount", 8).alias("discount"),
         F.count("discount").alias("discounts"),
     )
     rows = per_product.join(star.products.select("product_id", "category_id"), "product_id")

@@ -133,7 +133,7 @@ def fanout_check(star: Star) -> DataFrame:
     def check(key: str) -> DataFrame:
         name, dimension = dimensions[key]
         if key in line_key:
-            facts, net = star.lines, exact_sum(F.col("net"))
+            facts, net = star.lines, exact_sum("net")
         else:
             facts, net = order_values(star), F.sum("order_value")
         left = facts.groupBy(key).agg(F.count("*").alias("n"), net.alias("net"))

@@ -25,7 +25,7 @@ def order_values(star: Star) -> DataFrame:
     """
     if "order_values" in star.shared:
         return star.shared["order_values"]
-    per_order = star.lines.groupBy("order_id").agg(exact_sum(F.col("net")).alias("order_value"))
+    per_order = star.lines.groupBy("order_id").agg(exact_sum("net").alias("order_value"))
     return star.orders.join(per_order, "order_id")
 
 
@@ -42,7 +42,7 @@ def seller_totals(star: Star) -> DataFrame:
     """``seller_id``, ``seller_name`` and exact ``total_sales`` over lines of known orders."""
     if star.seller_on_lines:
         known = star.lines.join(star.orders.select("order_id"), "order_id", "left_semi")
-        per_seller = known.groupBy("seller_id").agg(exact_sum(F.col("net")).alias("total_sales"))
+        per_seller = known.groupBy("seller_id").agg(exact_sum("net").alias("total_sales"))
     else:
         per_seller = order_values(star).groupBy("seller_id").agg(F.sum("order_value").alias("total_sales"))
     named = per_seller.join(star.sellers.select("seller_id", "seller_name"), "seller_id")
@@ -63,11 +63,11 @@ def product_totals(star: Star, price: str = "charged") -> DataFrame:
         return star.shared[shared]
     products = star.products.select("product_id", "product_name", "category_id", "list_price")
     if price == "charged":
-        per_product = star.lines.groupBy("product_id").agg(exact_sum(F.col("net")).alias("total_sales"))
+        per_product = star.lines.groupBy("product_id").agg(exact_sum("net").alias("total_sales"))
         named = per_product.join(products, "product_id")
         return named.select("product_id", "product_name", "category_id", "total_sales")
-    kept = F.col("quantity") * (F.lit(1.0) - F.col("discount"))
-    per_product = star.lines.groupBy("product_id").agg(exact_sum(kept).cast("decimal(24,4)").alias("kept"))
+    kept = exact_sum("quantity * (1 - discount)").cast("decimal(24,4)")
+    per_product = star.lines.groupBy("product_id").agg(kept.alias("kept"))
     return per_product.join(products, "product_id").select(
         "product_id",
         "product_name",

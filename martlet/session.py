@@ -23,6 +23,8 @@ SETTINGS = {
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
+    # SQL texts written for a database quote their column names with double quotes.
+    "spark.sql.ansi.doubleQuotedIdentifiers": "true",
 }
 
 

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from dataclasses import dataclass, field, replace
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +11,11 @@ from martlet.functions import as_double, full_name, gross_revenue, money, net_of
 from martlet.sources.schemas import WHOLESALE
 
 
-@dataclass(frozen=True)
+TABLES = ("orders", "lines", "products", "categories", "customers", "sellers", "places", "shippers")
+
+Table = DataFrame | Callable[[], DataFrame]
+
+
 class Star:
     """Fact and dimension tables under common column names.
 
@@ -22,29 +25,38 @@ class Star:
     products    product_id, product_name, category_id, list_price [discontinued, brand]
     categories  category_id, category_name [description]
     customers   customer_id, customer_name [contact_name, city, country, segment, place_id]
-    places      place_id, nation, region; None if customers carry city and country
+    places      place_id, nation, region; absent if customers carry city and country
     sellers     seller_id, seller_name [title, hire_date]
-    shippers    shipper_id, shipper_name; None if the source has none
+    shippers    shipper_id, shipper_name; absent if the source has none
 
-    Columns in brackets exist where the source has them.
+    Columns in brackets exist where the source has them. A table may be given as a
+    function, which is called when an analysis first needs the table.
 
     Keys of the dimension tables and of ``orders`` are unique; ``plans.quality``
     has the job that checks it. No table is assumed to be small.
     """
 
-    orders: DataFrame
-    lines: DataFrame
-    products: DataFrame
-    categories: DataFrame
-    customers: DataFrame
-    sellers: DataFrame
-    places: DataFrame | None = None
-    shippers: DataFrame | None = None
-    shared: Mapping[str, DataFrame] = field(default_factory=dict)
+    def __init__(self, shared: Mapping[str, DataFrame] | None = None, **tables: Table) -> None:
+        unknown = set(tables) - set(TABLES)
+        if unknown:
+            raise ValueError(f"unknown tables {sorted(unknown)}")
+        self.shared = dict(shared or {})
+        self._tables = tables
 
     def with_shared(self, **frames: DataFrame) -> Star:
         """The same star with totals that are already computed, by name."""
-        return replace(self, shared={**self.shared, **frames})
+        return Star({**self.shared, **frames}, **self._tables)
+
+    def has(self, table: str) -> bool:
+        return table in self._tables
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in TABLES or name not in self._tables:
+            raise AttributeError(name)
+        table = self._tables[name]
+        if not isinstance(table, DataFrame):
+            table = self._tables[name] = table()
+        return table
 
     @property
     def seller_on_lines(self) -> bool:
@@ -100,7 +112,11 @@ def star_from_retail(tables: Mapping[str, DataFrame]) -> Star:
 
 def read_wholesale(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """The wholesale tables, one ``<name>.parquet`` each, with declared schemas."""
-    return {n: spark.read.schema(s.schema).parquet(f"{root}/{n}.parquet") for n, s in WHOLESALE.items()}
+    return {name: _read_wholesale(spark, root, name) for name in WHOLESALE}
+
+
+def _read_wholesale(spark: SparkSession, root: str, name: str) -> DataFrame:
+    return spark.read.schema(WHOLESALE[name].schema).parquet(f"{root}/{name}.parquet")
 
 
 def star_from_parquet(spark: SparkSession, root: str) -> Star:
@@ -111,14 +127,17 @@ def star_from_parquet(spark: SparkSession, root: str) -> Star:
     its nation and region.
     """
     c = F.col
-    read = read_wholesale(spark, root)
-    return Star(
-        orders=read["orders"].select(
-            c("o_orderkey").alias("order_id"),
-            c("o_custkey").alias("customer_id"),
-            c("o_orderdate").cast("date").alias("order_date"),
-        ),
-        lines=read["lineitem"].select(
+
+    def read(name: str) -> DataFrame:
+        return _read_wholesale(spark, root, name)
+
+    def orders() -> DataFrame:
+        return read("orders").selectExpr(
+            "o_orderkey AS order_id", "o_custkey AS customer_id", "CAST(o_orderdate AS DATE) AS order_date"
+        )
+
+    def lines() -> DataFrame:
+        return read("lineitem").select(
             c("l_orderkey").alias("order_id"),
             c("l_partkey").alias("product_id"),
             c("l_suppkey").alias("seller_id"),
@@ -127,30 +146,42 @@ def star_from_parquet(spark: SparkSession, root: str) -> Star:
             c("l_discount").alias("discount"),
             c("l_extendedprice").alias("gross"),
             net_of(c("l_extendedprice"), c("l_discount")).alias("net"),
-        ),
-        products=read["part"].select(
-            c("p_partkey").alias("product_id"),
-            c("p_name").alias("product_name"),
-            c("p_type").alias("category_id"),
-            c("p_retailprice").alias("list_price"),
-            c("p_brand").alias("brand"),
-        ),
-        categories=read["part"]
-        .filter(c("p_type").isNotNull())
-        .select(c("p_type").alias("category_id"), c("p_type").alias("category_name"))
-        .distinct(),
-        customers=read["customer"].select(
-            c("c_custkey").alias("customer_id"),
-            c("c_name").alias("customer_name"),
-            c("c_mktsegment").alias("segment"),
-            c("c_nationkey").alias("place_id"),
-        ),
-        places=read["nation"]
-        .join(read["region"], c("n_regionkey") == c("r_regionkey"))
-        .select(
-            c("n_nationkey").alias("place_id"), c("n_name").alias("nation"), c("r_name").alias("region")
-        ),
-        sellers=read["supplier"].select(
-            c("s_suppkey").alias("seller_id"), c("s_name").alias("seller_name")
-        ),
+        )
+
+    def products() -> DataFrame:
+        return read("part").selectExpr(
+            "p_partkey AS product_id",
+            "p_name AS product_name",
+            "p_type AS category_id",
+            "p_retailprice AS list_price",
+            "p_brand AS brand",
+        )
+
+    def categories() -> DataFrame:
+        types = read("part").filter("p_type IS NOT NULL")
+        return types.selectExpr("p_type AS category_id", "p_type AS category_name").distinct()
+
+    def customers() -> DataFrame:
+        return read("customer").selectExpr(
+            "c_custkey AS customer_id",
+            "c_name AS customer_name",
+            "c_mktsegment AS segment",
+            "c_nationkey AS place_id",
+        )
+
+    def places() -> DataFrame:
+        joined = read("nation").join(read("region"), c("n_regionkey") == c("r_regionkey"))
+        return joined.selectExpr("n_nationkey AS place_id", "n_name AS nation", "r_name AS region")
+
+    def sellers() -> DataFrame:
+        return read("supplier").selectExpr("s_suppkey AS seller_id", "s_name AS seller_name")
+
+    return Star(
+        orders=orders,
+        lines=lines,
+        products=products,
+        categories=categories,
+        customers=customers,
+        places=places,
+        sellers=sellers,
     )

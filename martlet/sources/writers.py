@@ -23,7 +23,8 @@ def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str
     """Save ``df`` bucketed and sorted on ``key``.
 
     Orders and lines saved with the same bucket count join, and lines group, on
-    the order key without any exchange.
+    the order key without any exchange. One task reads a whole bucket, so use it
+    only on keys without a hot value; ``plans.quality.duplicate_keys`` tells.
     """
     writer = df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
     if path:

@@ -49,21 +49,21 @@ def test_exact_sum_equals_decimal_arithmetic(spark, scale):
     # Values with more digits than a double holds are left to the double's own value.
     exact = sum(Decimal(round(v * 10**scale)) for v in values).scaleb(-scale)
     df = spark.createDataFrame([(v,) for v in values], "v double").repartition(7)
-    assert df.agg(exact_sum(F.col("v"), scale)).first()[0] == exact
+    assert df.agg(exact_sum("v", scale)).first()[0] == exact
 
 
 def test_exact_sum_does_not_depend_on_partitioning(spark):
     df = spark.range(50_000).select((F.rand(3) * 1e6).cast("decimal(18,4)").cast("double").alias("v"))
     df = spark.createDataFrame(df.toPandas())
-    sums = {df.repartition(n).agg(exact_sum(F.col("v"))).first()[0] for n in (1, 3, 11)}
+    sums = {df.repartition(n).agg(exact_sum("v")).first()[0] for n in (1, 3, 11)}
     assert len(sums) == 1
 
 
 def test_exact_sum_of_nothing_is_null_and_nulls_are_skipped(spark):
     df = spark.createDataFrame([(1, None), (2, 1.5), (2, None), (3, -0.0001)], "k int, v double")
-    got = dict(df.groupBy("k").agg(exact_sum(F.col("v"))).collect())
+    got = dict(df.groupBy("k").agg(exact_sum("v")).collect())
     assert got == {1: None, 2: Decimal("1.5000"), 3: Decimal("-0.0001")}
-    assert df.filter("false").agg(exact_sum(F.col("v"))).first()[0] is None
+    assert df.filter("false").agg(exact_sum("v")).first()[0] is None
 
 
 def test_percent_of_zero_total_is_null(spark):

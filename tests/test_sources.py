@@ -3,7 +3,7 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
-from conftest import final_plan, rows
+from conftest import final_plan, line, order, rows
 from pyspark.errors import PySparkException
 from pyspark.sql import types as T
 
@@ -103,6 +103,28 @@ def test_sql_text_with_parameters(spark, tables):
     assert sources.run_query(spark, "SELECT COUNT(*) AS n FROM shippers").first()["n"] == 2
 
 
+def test_sql_text_written_for_a_database(spark, tables):
+    built = tables(
+        orders=[order(1, "1997-01-05"), order(2, "1997-02-07")],
+        order_details=[line(1, 1, 10, 2), line(2, 1, 5, 2, 0.5)],
+    )
+    sources.register_views({n: built[n] for n in ("orders", "order_details")})
+    got = sources.run_query(
+        spark,
+        """
+        WITH monthly AS (
+            SELECT DATE_TRUNC('month', o.order_date)::date AS "Month",
+                   SUM(d.unit_price * d.quantity * (1 - d.discount)) AS "Total Sales"
+            FROM orders o INNER JOIN order_details d ON d.order_id = o.order_id
+            GROUP BY DATE_TRUNC('month', o.order_date))
+        SELECT "Month", SUM("Total Sales") OVER (ORDER BY "Month") AS "Running Total"
+        FROM monthly ORDER BY "Month"
+        """,
+    )
+    assert got.columns == ["Month", "Running Total"]
+    assert rows(got) == [(dt.date(1997, 1, 1), 20.0), (dt.date(1997, 2, 1), 25.0)]
+
+
 def test_catalogue_lists_tables_and_views(spark):
     spark.range(1).write.mode("overwrite").saveAsTable("listed_table")
     spark.range(1).createOrReplaceTempView("listed_view")
