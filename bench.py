@@ -11,6 +11,7 @@ import json
 import os
 import sys
 import time
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
@@ -44,8 +45,9 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
 
     def marts(spark, root):
-        for mart in build_marts(star_from_parquet(spark, root)).values():
-            run(mart)
+        results = build_marts(star_from_parquet(spark, root)).values()
+        with ThreadPoolExecutor(len(results)) as pool:
+            list(pool.map(run, results))
 
     jobs = {name: (lambda s, r, q=query: run(q(s, r))) for name, query in queries().items()}
     jobs["all_marts"] = marts

@@ -39,10 +39,9 @@ def _in_one_task(df: DataFrame, order: str, value: Column, descending: bool) ->
     return df.select(
         "*",
         F.sum(value).over(upto).alias("_upto"),
-        F.count("*").over(upto).alias("_rows_upto"),
-        F.dense_rank().over(by_value).cast("bigint").alias("_position"),
-        F.sum(value).over(ties).alias("_weight"),
-        F.count("*").over(ties).alias("_rows"),
+        F.sum(value).over(ties).alias("_tied"),
+        F.rank().over(by_value).cast("bigint").alias("_rank"),
+        F.dense_rank().over(by_value).cast("bigint").alias("_dense_rank"),
     )
 
 
@@ -68,14 +67,14 @@ def _in_slices(df: DataFrame, order: str, value: Column, descending: bool, slice
     )
     inside = W.partitionBy("_slice").orderBy(key)
     upto = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows_upto = _joined(F.sum("_rows").over(upto), F.col("_rows_before"))
     # One row per slice: the broadcast is bounded by the number of slices.
     sums = placed.join(F.broadcast(before), "_slice").select(
         "_key",
         _joined(F.sum("_weight").over(upto), F.col("_weight_before")).alias("_upto"),
-        _joined(F.sum("_rows").over(upto), F.col("_rows_before")).alias("_rows_upto"),
-        _joined(F.row_number().over(inside).cast("bigint"), F.col("_groups_before")).alias("_position"),
-        "_weight",
-        "_rows",
+        F.col("_weight").alias("_tied"),
+        (rows_upto - F.col("_rows") + 1).alias("_rank"),
+        _joined(F.row_number().over(inside).cast("bigint"), F.col("_groups_before")).alias("_dense_rank"),
     )
     return df.join(sums, df[order].eqNullSafe(sums["_key"])).drop("_key")
 
@@ -92,11 +91,10 @@ def ordered_prefix(
 ) -> DataFrame:
     """``df`` plus, for each row, sums over all rows up to and including its ties.
 
-    ``_upto``       sum of ``weight`` over rows sorting at or before this value
-    ``_rows_upto``  number of such rows
-    ``_position``   number of distinct values at or before
-    ``_weight``     sum of ``weight`` over the rows tied with this one, itself included
-    ``_rows``       number of those rows
+    ``_upto``        sum of ``weight`` over rows sorting at or before this value
+    ``_tied``        sum of ``weight`` over the rows tied with this one, itself included
+    ``_rank``        1 + number of rows sorting before
+    ``_dense_rank``  1 + number of distinct values sorting before
 
     ``rows_bound`` is a known upper bound of the row count. Without a small one the
     rows are written once and counted, and the count decides.

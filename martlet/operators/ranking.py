@@ -29,8 +29,8 @@ def rank_by(
     sums = ordered_prefix(
         df, order, descending=descending, rows_bound=rows_bound, single_task_rows=single_task_rows
     )
-    rank = F.col("_position") if method == "dense" else F.col("_rows_upto") - F.col("_rows") + 1
-    return sums.select(*df.columns, rank.cast("bigint").alias(into))
+    rank = "_dense_rank" if method == "dense" else "_rank"
+    return sums.select(*df.columns, F.col(rank).alias(into))
 
 
 def running_total(

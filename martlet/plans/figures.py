@@ -107,7 +107,7 @@ def product_beats_category(star: Star) -> DataFrame:
     )
     sums = ordered_prefix(points, "total_sales", "is_category", rows_bound=2 * star.categories.count())
     own_below = F.when(F.col("own") < F.col("total_sales"), 1).otherwise(0)
-    beaten = F.col("_upto") - F.col("_weight") - own_below
+    beaten = F.col("_upto") - F.col("_tied") - own_below
     rows = sums.filter(F.col("is_category") == 0).select(
         "category_id",
         "category_name",

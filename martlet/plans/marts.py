@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,9 +40,13 @@ def build_marts(star: Star) -> dict[str, DataFrame]:
 
 
 def write_marts(marts: Mapping[str, DataFrame], root: str) -> None:
-    """Save each result under ``root/<name>`` for other jobs and the presentation layer."""
-    for name, mart in marts.items():
-        write_table(mart, f"{root}/{name}")
+    """Save each result under ``root/<name>`` for other jobs and the presentation layer.
+
+    The results are independent, so their jobs are submitted together and small
+    ones fill the cores that large ones leave free.
+    """
+    with ThreadPoolExecutor(len(marts)) as pool:
+        list(pool.map(lambda name: write_table(marts[name], f"{root}/{name}"), marts))
 
 
 def read_marts(spark: SparkSession, root: str, names: Iterable[str] = MARTS) -> dict[str, DataFrame]:

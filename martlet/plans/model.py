@@ -99,12 +99,15 @@ def fact_sales(star: Star) -> DataFrame:
     )
 
 
-# Attribute -> the fact key that leads to it.
-_ATTRIBUTE_KEYS = {
+# Date attribute -> its expression over the order date.
+_DATES = {
     "order_date": "order_date",
-    "month": "order_date",
-    "quarter": "order_date",
-    "year": "order_date",
+    "month": "trunc(order_date, 'month')",
+    "quarter": "CAST(quarter(order_date) AS BIGINT)",
+    "year": "CAST(year(order_date) AS BIGINT)",
+}
+# Other attribute -> the dimension key that leads to it.
+_DIMENSION_KEYS = {
     "customer_id": "customer_id",
     "customer_name": "customer_id",
     "city": "customer_id",
@@ -120,67 +123,59 @@ _ATTRIBUTE_KEYS = {
     "seller_id": "seller_id",
     "seller_name": "seller_id",
 }
+_ADDITIVE = ("line_count", "quantity", "gross_revenue", "net_revenue")
 
 
-def _with_dates(df: DataFrame) -> DataFrame:
-    day = F.col("order_date")
-    return df.withColumns(
-        {
-            "month": F.trunc(day, "month"),
-            "quarter": F.quarter(day).cast("bigint"),
-            "year": F.year(day).cast("bigint"),
-        }
+def _summed_lines(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.groupBy(*keys).agg(
+        F.count("*").alias("line_count"),
+        exact_sum("quantity").alias("quantity"),
+        exact_sum("gross").alias("gross_revenue"),
+        exact_sum("net").alias("net_revenue"),
     )
 
 
+def _added(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in _ADDITIVE])
+
+
 def revenue_by(star: Star, *by: str) -> DataFrame:
     """Additive measures rolled up by any attributes of the dimensions.
 
     Only the dimensions in use are joined, after the lines have been summed on
     the dimension keys.
     """
-    unknown = [a for a in by if a not in _ATTRIBUTE_KEYS]
+    unknown = [a for a in by if a not in _DATES and a not in _DIMENSION_KEYS]
     if unknown or not by:
-        raise ValueError(f"unknown attributes {unknown}; known are {sorted(_ATTRIBUTE_KEYS)}")
-    keys = sorted({_ATTRIBUTE_KEYS[a] for a in by})
-
-    def measures(lines: DataFrame, columns: list[str]) -> DataFrame:
-        return lines.groupBy(*columns).agg(
-            F.count("*").alias("line_count"),
-            exact_sum("quantity").alias("quantity"),
-            exact_sum("gross").alias("gross_revenue"),
-            exact_sum("net").alias("net_revenue"),
-        )
-
-    def added(df: DataFrame, columns: list[str]) -> DataFrame:
-        sums = ("line_count", "quantity", "gross_revenue", "net_revenue")
-        return df.groupBy(*columns).agg(*[F.sum(c).alias(c) for c in sums])
-
-    orders = star.orders.select("order_id", *[k for k in keys if k in star.orders.columns])
-    if any(k in star.lines.columns for k in keys):
-        rows = measures(star.lines.join(orders, "order_id"), keys)
-    else:
+        raise ValueError(f"unknown attributes {unknown}; known are {sorted([*_DATES, *_DIMENSION_KEYS])}")
+    dates = [a for a in by if a in _DATES]
+    dimensions = sorted({_DIMENSION_KEYS[a] for a in by if a in _DIMENSION_KEYS})
+    keys = dates + dimensions
+
+    order_keys = [k for k in dimensions if k not in star.lines.columns]
+    orders = star.orders.selectExpr("order_id", *order_keys, *[f"{_DATES[d]} AS {d}" for d in dates])
+    if set(dimensions) == set(order_keys):
         # Only order attributes: an order's lines become one row before the join.
-        rows = added(measures(star.lines, ["order_id"]).join(orders, "order_id"), keys)
-    if "customer_id" in keys:
+        rows = _added(_summed_lines(star.lines, ["order_id"]).join(orders, "order_id"), keys)
+    else:
+        rows = _summed_lines(star.lines.join(orders, "order_id"), keys)
+
+    if "customer_id" in dimensions:
         customers = star.customers
         if star.has("places") and {"nation", "region"} & set(by):
             customers = customers.join(star.places, "place_id")
         rows = rows.join(customers, "customer_id")
-    if "product_id" in keys:
+    if "product_id" in dimensions:
         products = star.products
         if "category_name" in by:
             products = products.join(star.categories, "category_id")
         rows = rows.join(products, "product_id")
-    if "seller_id" in keys:
+    if "seller_id" in dimensions:
         rows = rows.join(star.sellers, "seller_id")
-    if "order_date" in keys:
-        rows = _with_dates(rows)
-    out = added(rows, list(by))
-    return out.select(
-        *by,
-        "line_count",
-        *[as_double(F.col(c)).alias(c) for c in ("quantity", "gross_revenue", "net_revenue")],
+    if keys != list(by):
+        rows = _added(rows, list(by))
+    return rows.select(
+        *by, "line_count", *[as_double(F.col(c)).alias(c) for c in _ADDITIVE[1:]]
     ).orderBy(*[F.col(c).asc_nulls_last() for c in by])
 
 

@@ -105,9 +105,9 @@ def test_running_total_of_tied_rows_is_shared_and_ends_at_the_total(spark):
     assert got == [(10,), (60,), (60,), (100,)]
 
 
-def test_prefix_counts_positions_and_ties_in_every_form(spark):
+def test_prefix_columns_agree_in_every_form(spark):
     df = values(spark, seed=5, hot=0.3)
-    columns = ["id", "_upto", "_rows_upto", "_position", "_weight", "_rows"]
+    columns = ["id", "_upto", "_tied", "_rank", "_dense_rank"]
     forms = [
         ordered_prefix(df, "x", "v", rows_bound=2000),
         ordered_prefix(df, "x", "v"),
