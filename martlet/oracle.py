@@ -271,8 +271,10 @@ SELECT category_id, product_id, product_name, total_sales,
          AS pct_of_category
 FROM numbered""",
         "order_seller_detail": """
-SELECT DISTINCT s_name AS seller_name, o_orderkey AS order_id, CAST(o_orderdate AS DATE) AS order_date
-FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN supplier ON s_suppkey = l_suppkey""",
+SELECT seller_name, order_id, order_date
+FROM (SELECT DISTINCT s_suppkey, s_name AS seller_name, o_orderkey AS order_id,
+             CAST(o_orderdate AS DATE) AS order_date
+      FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN supplier ON s_suppkey = l_suppkey)""",
         "order_customer_detail": """
 SELECT o_orderkey AS order_id, c_name AS customer_name, CAST(o_orderdate AS DATE) AS order_date
 FROM orders JOIN customer ON o_custkey = c_custkey""",

@@ -16,17 +16,22 @@ from martlet.sources.writers import write_table
 MARTS = ("kpis", "best_month", "sellers", "monthly", "growth", "customers", "categories", "top_products")
 
 
-def build_marts(star: Star) -> dict[str, DataFrame]:
-    """The eight dashboard results.
+def share_totals(star: Star) -> Star:
+    """The star with the totals most analyses start from written to the scratch folder.
 
-    The two totals that several results start from are written once to the shared
-    scratch folder, so the lines are read once per key instead of once per result,
-    and a lost executor does not repeat that work.
+    Call it once before a batch of analyses: the lines are then read once per key
+    instead of once per result, an analysis that compares orders with their
+    average does not join twice, and a lost executor does not repeat that work.
     """
-    star = star.with_shared(
+    return star.with_shared(
         order_values=materialise(order_values(star), "order-values"),
         product_totals_charged=materialise(product_totals(star), "product-totals"),
     )
+
+
+def build_marts(star: Star) -> dict[str, DataFrame]:
+    """The eight dashboard results over shared totals."""
+    star = share_totals(star)
     return {
         "kpis": analyses.kpi_summary(star),
         "best_month": analyses.best_month(star),

@@ -65,7 +65,9 @@ def dim_customer(star: Star) -> DataFrame:
 
 
 def dim_seller(star: Star) -> DataFrame:
-    return _attributes(star.sellers, "seller_id", "seller_name", "title", "hire_date")
+    return _attributes(
+        star.sellers, "seller_id", "seller_name", "first_name", "last_name", "title", "hire_date"
+    )
 
 
 def dim_category(star: Star) -> DataFrame:

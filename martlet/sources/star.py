@@ -26,7 +26,7 @@ class Star:
     categories  category_id, category_name [description]
     customers   customer_id, customer_name [contact_name, city, country, segment, place_id]
     places      place_id, nation, region; absent if customers carry city and country
-    sellers     seller_id, seller_name [title, hire_date]
+    sellers     seller_id, seller_name [first_name, last_name, title, hire_date]
     shippers    shipper_id, shipper_name; absent if the source has none
 
     Columns in brackets exist where the source has them. A table may be given as a
@@ -103,6 +103,8 @@ def star_from_retail(tables: Mapping[str, DataFrame]) -> Star:
         sellers=tables["employees"].select(
             c("employee_id").alias("seller_id"),
             full_name(c("first_name"), c("last_name")).alias("seller_name"),
+            "first_name",
+            "last_name",
             "title",
             "hire_date",
         ),

@@ -38,7 +38,7 @@ def test_other_dimensions(star):
         shippers=[{"shipper_id": 1, "company_name": "Fast"}],
     )
     assert rows(model.dim_customer(shop)) == [("A", "Alpha", "Q", "Lima", "Peru")]
-    assert rows(model.dim_seller(shop)) == [(1, "Ann Lee", "Rep", day("1993-01-01"))]
+    assert rows(model.dim_seller(shop)) == [(1, "Ann Lee", "Ann", "Lee", "Rep", day("1993-01-01"))]
     assert rows(model.dim_category(shop)) == [(1, "Tea", "Leaves")]
     assert rows(model.dim_shipper(shop)) == [(1, "Fast")]
 
