@@ -185,6 +185,13 @@ _ADDITIVE = f"""COUNT(*) AS line_count,
 
 
 def oracle_sql() -> dict[str, str]:
+    sql = _oracle_sql()
+    for name in ("seller_rank", "seller_dense_rank", "category_pareto"):
+        sql[f"{name}_sliced"] = sql[name]
+    return sql
+
+
+def _oracle_sql() -> dict[str, str]:
     return {
         "seller_rank": f"""WITH {_SELLERS}
 SELECT seller_id, seller_name, total_sales, pct_of_total, sales_rank FROM ranked""",

@@ -21,6 +21,7 @@ from martlet.functions import (
     signed_percent_label,
 )
 from martlet.operators import (
+    SINGLE_TASK_ROWS,
     flag_above_average,
     group_share,
     mean_of,
@@ -36,6 +37,7 @@ from martlet.plans.totals import (
     monthly_sales,
     order_values,
     product_totals,
+    reused_order_values,
     seller_totals,
 )
 from martlet.sources.star import Star
@@ -88,18 +90,30 @@ def headline_cards(star: Star) -> DataFrame:
 # --- sellers -------------------------------------------------------------------
 
 
-def seller_rank(star: Star) -> DataFrame:
+def seller_rank(star: Star, single_task_rows: int = SINGLE_TASK_ROWS) -> DataFrame:
     """Sellers by sales, ties sharing a rank, with their share of the total."""
     shared = share_of_total(seller_totals(star), "total_sales", "pct_of_total")
-    ranked = rank_by(shared, "total_sales", "sales_rank", rows_bound=star.sellers.count())
+    ranked = rank_by(
+        shared,
+        "total_sales",
+        "sales_rank",
+        rows_bound=star.sellers.count(),
+        single_task_rows=single_task_rows,
+    )
     columns = ("seller_id", "seller_name", "total_sales", "sales_rank", "pct_of_total")
     return with_double(ranked, "total_sales").select(*columns).orderBy("sales_rank", "seller_id")
 
 
-def seller_dense_rank(star: Star) -> DataFrame:
+def seller_dense_rank(star: Star, single_task_rows: int = SINGLE_TASK_ROWS) -> DataFrame:
     """Sellers by sales without gaps after ties."""
-    bound = star.sellers.count()
-    ranked = rank_by(seller_totals(star), "total_sales", "sales_rank", method="dense", rows_bound=bound)
+    ranked = rank_by(
+        seller_totals(star),
+        "total_sales",
+        "sales_rank",
+        method="dense",
+        rows_bound=star.sellers.count(),
+        single_task_rows=single_task_rows,
+    )
     return with_double(ranked, "total_sales").orderBy("sales_rank", "seller_id")
 
 
@@ -200,7 +214,7 @@ def growth_extremes(star: Star) -> DataFrame:
 
 def flagged_orders(star: Star) -> DataFrame:
     """Orders with their exact value, labelled against the average over all orders."""
-    values = order_values(star).select("customer_id", "order_id", "order_value")
+    values = reused_order_values(star).select("customer_id", "order_id", "order_value")
     return flag_above_average(values, "order_value")
 
 

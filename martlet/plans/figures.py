@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from martlet.functions import as_double, percent_of
 from martlet.functions.labels import ABOVE
 from martlet.operators import (
+    SINGLE_TASK_ROWS,
     mean_of,
     ordered_prefix,
     running_total,
@@ -54,11 +55,18 @@ def leader_ratio(star: Star) -> DataFrame:
     return ends.withColumn("ratio", F.col("best_sales") / F.nullif(F.col("worst_sales"), F.lit(0.0)))
 
 
-def category_pareto(star: Star) -> DataFrame:
+def category_pareto(star: Star, single_task_rows: int = SINGLE_TASK_ROWS) -> DataFrame:
     """Categories from largest to smallest with their cumulative share."""
     totals = category_totals(star)
-    bound = star.categories.count()
-    rows = running_total(totals, "total_sales", "total_sales", "cumulative", descending=True, rows_bound=bound)
+    rows = running_total(
+        totals,
+        "total_sales",
+        "total_sales",
+        "cumulative",
+        descending=True,
+        rows_bound=star.categories.count(),
+        single_task_rows=single_task_rows,
+    )
     total = totals.agg(F.sum("total_sales")).scalar()
     rows = rows.withColumn("cumulative_pct", percent_of(F.col("cumulative"), total))
     ordered = rows.orderBy(F.col("total_sales").desc_nulls_first(), "category_id")

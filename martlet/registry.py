@@ -43,6 +43,10 @@ _STAR: dict[str, Callable[[Star], DataFrame]] = {
     "top15_customers": analyses.top_customers,
     "category_top3_total": analyses.category_top_total,
     "product_share_in_category": analyses.product_share_in_category,
+    # the forms that rankings and running totals take when there are many rows
+    "seller_rank_sliced": lambda s: analyses.seller_rank(s, single_task_rows=0),
+    "seller_dense_rank_sliced": lambda s: analyses.seller_dense_rank(s, single_task_rows=0),
+    "category_pareto_sliced": lambda s: figures.category_pareto(s, single_task_rows=0),
     # exploration
     "order_seller_detail": analyses.order_seller_detail,
     "order_customer_detail": analyses.order_customer_detail,

@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 from conftest import category, customer, day, employee, line, order, product, rows
 
-from martlet.plans import analyses, figures
+from martlet.plans import analyses, figures, totals
 
 SHOP = dict(
     employees=[employee(1, "Ann", "Lee"), employee(2, "Bob", "Ray"), employee(3, "Cid", "Poe")],
@@ -157,6 +157,14 @@ def test_order_flag_is_strict(star, shop):
     assert {r[0] for r in rows(analyses.order_value_flag(even), "value_category")} == {"Below Average"}
 
 
+def test_many_orders_are_written_once(shop, monkeypatch):
+    want = rows(analyses.order_value_flag(shop))
+    monkeypatch.setattr(totals.reused_order_values, "__defaults__", (1,))
+    flagged = analyses.order_value_flag(shop)
+    assert rows(flagged) == want
+    assert all("order-values" in f for f in flagged.inputFiles())
+
+
 def test_segment_threshold_is_the_mean_over_orders(star):
     # A: nine orders of 10; B: one order of 100. Mean over orders 19, over customers 55.
     shop = changed(

@@ -1,14 +1,15 @@
 from __future__ import annotations
 
 import datetime as dt
+from pathlib import Path
 
 import pytest
-from conftest import final_plan, line, order, rows
+from conftest import final_plan, order, rows
 from pyspark.errors import PySparkException
 from pyspark.sql import types as T
 
 from martlet import sources
-from martlet.session import SETTINGS, materialise, scratch_dir, shuffle_partitions
+from martlet.session import SETTINGS, clear_scratch, materialise, scratch_dir, shuffle_partitions
 from martlet.sources.jdbc import jdbc_options
 from martlet.sources.schemas import FOREIGN_KEYS, RETAIL, WHOLESALE, table_spec
 
@@ -104,25 +105,19 @@ def test_sql_text_with_parameters(spark, tables):
 
 
 def test_sql_text_written_for_a_database(spark, tables):
-    built = tables(
-        orders=[order(1, "1997-01-05"), order(2, "1997-02-07")],
-        order_details=[line(1, 1, 10, 2), line(2, 1, 5, 2, 0.5)],
-    )
-    sources.register_views({n: built[n] for n in ("orders", "order_details")})
+    quarters = ["1997-01-05", "1997-02-07", "1997-05-01"]
+    built = tables(orders=[{**order(i, d), "ship_country": "Peru"} for i, d in enumerate(quarters)])
+    sources.register_views({"orders": built["orders"]})
     got = sources.run_query(
         spark,
         """
-        WITH monthly AS (
-            SELECT DATE_TRUNC('month', o.order_date)::date AS "Month",
-                   SUM(d.unit_price * d.quantity * (1 - d.discount)) AS "Total Sales"
-            FROM orders o INNER JOIN order_details d ON d.order_id = o.order_id
-            GROUP BY DATE_TRUNC('month', o.order_date))
-        SELECT "Month", SUM("Total Sales") OVER (ORDER BY "Month") AS "Running Total"
-        FROM monthly ORDER BY "Month"
+        SELECT o.ship_country AS "Ship Country", DATE_TRUNC('quarter', o.order_date)::date AS "Quarter",
+               COUNT(*) AS "Orders"
+        FROM orders o GROUP BY 1, 2 HAVING COUNT(*) > 1
         """,
     )
-    assert got.columns == ["Month", "Running Total"]
-    assert rows(got) == [(dt.date(1997, 1, 1), 20.0), (dt.date(1997, 2, 1), 25.0)]
+    assert got.columns == ["Ship Country", "Quarter", "Orders"]
+    assert rows(got) == [("Peru", dt.date(1997, 1, 1), 2)]
 
 
 def test_catalogue_lists_tables_and_views(spark):
@@ -181,6 +176,10 @@ def test_intermediate_tables_go_to_the_shared_folder(spark):
     written = materialise(spark.range(5), "check")
     assert written.inputFiles()[0].removeprefix("file://").startswith(shared)
     assert written.count() == 5
+    folder = Path(scratch_dir(spark))
+    assert folder.exists()
+    clear_scratch(spark)
+    assert not folder.exists() and Path(shared).exists()
 
 
 def test_shuffle_partitions_follow_the_data():
