@@ -56,8 +56,10 @@ def monthly_sales(star: Star) -> DataFrame:
 def seller_totals(star: Star) -> DataFrame:
     """``seller_id``, ``seller_name`` and exact ``total_sales`` over lines of known orders."""
     if star.seller_on_lines:
-        known = star.lines.join(star.orders.select("order_id"), "order_id", "left_semi")
-        per_seller = known.groupBy("seller_id").agg(exact_sum("net").alias("total_sales"))
+        lines = star.lines
+        if not star.orders_checked:
+            lines = lines.join(star.orders.select("order_id"), "order_id", "left_semi")
+        per_seller = lines.groupBy("seller_id").agg(exact_sum("net").alias("total_sales"))
     else:
         per_seller = order_values(star).groupBy("seller_id").agg(F.sum("order_value").alias("total_sales"))
     named = per_seller.join(star.sellers.select("seller_id", "seller_name"), "seller_id")

@@ -36,16 +36,31 @@ class Star:
     has the job that checks it. No table is assumed to be small.
     """
 
-    def __init__(self, shared: Mapping[str, DataFrame] | None = None, **tables: Table) -> None:
+    def __init__(
+        self,
+        shared: Mapping[str, DataFrame] | None = None,
+        orders_checked: bool = False,
+        **tables: Table,
+    ) -> None:
         unknown = set(tables) - set(TABLES)
         if unknown:
             raise ValueError(f"unknown tables {sorted(unknown)}")
         self.shared = dict(shared or {})
+        self.orders_checked = orders_checked
         self._tables = tables
 
     def with_shared(self, **frames: DataFrame) -> Star:
         """The same star with totals that are already computed, by name."""
-        return Star({**self.shared, **frames}, **self._tables)
+        return Star({**self.shared, **frames}, self.orders_checked, **self._tables)
+
+    def with_orders_checked(self) -> Star:
+        """The same star, for lines whose orders are known to exist.
+
+        Say so only after ``quality.fk_orphans`` found none: totals by seller or
+        product then skip the join with orders that would only drop orphans, and
+        with it the shuffle of every line.
+        """
+        return Star(self.shared, True, **self._tables)
 
     def has(self, table: str) -> bool:
         return table in self._tables

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as contract
 from martlet.plans import analyses, model, totals
 from martlet.session import SETTINGS
-from martlet.sources.star import Star
+from martlet.sources.star import Star, star_from_parquet
 
 ROOT = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not Path(ROOT).exists(), reason="test data is not mounted")
@@ -158,6 +158,18 @@ def test_top_products_are_limited_before_the_shuffle(spark, no_broadcast):
     assert re.search(r"Exchange hashpartitioning\(category_id.*\n.*WindowGroupLimit.*Partial", plan)
 
 
+@needs_data
+def test_checked_orders_need_no_join(spark, no_broadcast):
+    star = star_from_parquet(spark, ROOT)
+    builds = (analyses.seller_rank, lambda s: model.revenue_by(s, "category_name", "seller_name"))
+    for build in builds:
+        checked = build(star.with_orders_checked())
+        plan = executed(final_plan(checked))
+        assert "FileScan parquet [o_" not in plan and plan.count("FileScan parquet [l_") == 1
+        assert rows(checked) == rows(build(star))
+    assert "FileScan parquet [o_" in executed(final_plan(model.revenue_by(star.with_orders_checked(), "year")))
+
+
 # --- skew ------------------------------------------------------------------------
 
 HOT = 20_000
