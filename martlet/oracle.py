@@ -376,9 +376,9 @@ FROM lineitem GROUP BY ALL HAVING COUNT(*) > 1""",
                 _fanout("products", "lineitem | part d WHERE d.p_partkey = f.l_partkey", _NET),
                 _fanout(
                     "customers",
-                    f"(SELECT o_orderkey, o_custkey, SUM({_NET}) AS net FROM orders JOIN lineitem "
-                    "ON o_orderkey = l_orderkey GROUP BY ALL) | customer d WHERE d.c_custkey = f.o_custkey",
-                    "net",
+                    "(SELECT * FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"
+                    " | customer d WHERE d.c_custkey = f.o_custkey",
+                    _NET,
                 ),
                 _fanout("sellers", "lineitem | supplier d WHERE d.s_suppkey = f.l_suppkey", _NET),
             ]

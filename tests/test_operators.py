@@ -123,6 +123,17 @@ def test_prefix_of_an_empty_input_is_empty(spark):
     assert running_total(empty, "x", "v", single_task_rows=0).count() == 0
 
 
+@pytest.mark.parametrize("limit", [0, 5000])
+def test_largest_value_has_rank_1_and_totals_of_positive_values_rise(spark, limit):
+    df = values(spark, seed=8, nulls=0).select("id", F.abs("x").alias("x"), F.abs("v").alias("v"))
+    ranked = rank_by(df, "x", "r", single_task_rows=limit)
+    top = df.agg(F.max("x")).first()[0]
+    assert {r["x"] for r in ranked.filter("r = 1").collect()} == {top}
+    total = running_total(df, "x", "v", single_task_rows=limit).orderBy("x")
+    series = [r["running_total"] for r in total.collect() if r["running_total"] is not None]
+    assert series == sorted(series) and series[-1] == df.agg(F.sum("v")).first()[0]
+
+
 # --- top n ---------------------------------------------------------------------
 
 
