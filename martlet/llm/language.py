@@ -143,7 +143,7 @@ def keep_identified(docs: DataFrame, content: dict[str, bytes]) -> DataFrame:
     names = docs.columns
     plain = docs.toDF(*(f"_{i}" for i in range(len(names))))
     text = f"_{[n.lower() for n in names].index('text')}"
-    schema = StructType(plain.schema.fields).add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
+    schema = StructType(list(plain.schema.fields)).add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predict = _predict(content)
