@@ -64,7 +64,7 @@ def line_sections(data: bytes) -> tuple[list[int], list[str]]:
 
 def allocate(ends: np.ndarray, begin: np.ndarray, rule: str) -> np.ndarray:
     """The section of each token, from the tokens' ends and the sections' begins."""
-    starts = np.append(0, ends[:-1])
+    starts = np.append(0, ends)[:-1]
     first = np.searchsorted(begin, starts, "right") - 1
     if rule == "first":
         return first
