@@ -17,7 +17,9 @@ on those two symbols alone. For each border the code keeps the words it hangs on
    offset, as the choice reads nothing outside the window. Windows next to each
    other mostly pick the same one, so that some tenth as many *anchors* as words
    are left: the name of the support, the fingerprint of all the words under the
-   anchor's windows, and where they are.
+   anchor's windows, and where they are. There are as many rounds as bring supports
+   to about a quarter of the window: later ones leave windows too few borders to
+   agree on one.
 2. Anchors are counted by name. A name seen once has no repeat. A name whose
    anchors all have one fingerprint repeats with all its windows. The others are
    looked at window by window.
@@ -37,6 +39,7 @@ are not read; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,10 +52,14 @@ from martlet.llm.common import drop_table, mix, pick, saved
 from martlet.llm.words import Sums, Words, chunks, words_of
 
 WINDOW = 35
-ROUNDS = 16
 _FAR = np.int64(1) << 40
 
 
+def rounds_for(window: int) -> int:
+    """A round leaves three quarters of the borders, and adds a symbol to each side of a support."""
+    return 1 + int(math.log(1 + window / 18) / math.log(4 / 3))
+
+
 def _round(pos, sym, lo, hi, inner_lo, inner_hi, first, k: int):
     """One round over symbols at ``pos`` named ``sym`` with border supports [lo, hi).
 
@@ -114,7 +121,7 @@ def _rounds(w: Words, sums: Sums, window: int):
     lo, hi = pos.copy(), pos.copy()
     inner_lo, inner_hi = np.full(n, _FAR), np.full(n, -_FAR)
     sym = w.code
-    for k in range(ROUNDS):
+    for k in range(rounds_for(window)):
         l, h = np.minimum(lo, pos - 1), np.maximum(hi, pos + 1)
         near = np.flatnonzero((h - l <= window) & ~first)
         if not len(near):
