@@ -15,8 +15,8 @@ Links. Texts with the same words are one node. Nodes that agree in all values of
 band are candidates: each with the least node of its bucket, at first. The
 agreement of the signatures prunes candidates (``MATCHES`` of k are reached by all
 but a hundred-thousandth of the pairs at 0.8), and the exact similarity decides, for
-the best candidate of each node that still crosses two classes, until no candidate
-crosses. Then buckets that still hold more than one class are searched for pairs
+the best candidates of each node that still cross two classes: one at first, then
+eight times as many with each round, until no undecided candidate crosses. Then buckets that still hold more than one class are searched for pairs
 between classes, in blocks of ``BLOCK`` nodes a side, and these are decided in the
 same way. Two linked texts in one bucket thus end in one class, while copies, and
 pairs already in one class, cost nothing.
@@ -237,19 +237,21 @@ class _Search:
 
     def settle(self, candidates: DataFrame) -> None:
         """Decide candidates until none that is undecided crosses two classes."""
+        most = 1
         while True:
             rows = _with_root(_with_root(candidates, self.roots, "a", "root_a"), self.roots, "b", "root_b")
             rows = rows.where("root_a <> root_b").select("a", "b", "matches")
             if self.decided is not None:
                 rows = rows.join(self.decided.select("a", "b"), ["a", "b"], "left_anti")
             best = Window.partitionBy("b").orderBy(F.desc("matches"), "a")
-            rows = rows.withColumn("nth", F.row_number().over(best)).where("nth = 1").select("a", "b")
+            rows = rows.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= most).select("a", "b")
             made = saved(_pairs(rows, self.elements, "units").mapInArrow(_similar, "a long, b long, linked boolean"), "decided")
             if made.isEmpty():
                 return
             self.decided = made if self.decided is None else self.decided.union(made)
             if not made.where("linked").isEmpty():
                 self.roots = components(self.decided.where("linked"))
+            most *= 8
 
 
 def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
