@@ -101,5 +101,108 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in made}
 
 
+_WORDS_GONE = r"""
+WITH texts AS (
+  SELECT doc_id, ROW_NUMBER() OVER () AS row_id,
+         regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+starts AS (
+  SELECT row_id, i, array_to_string(words[i:i + 34], ' ') AS seq
+  FROM (SELECT row_id, words, UNNEST(range(1, len(words) - 33)) AS i FROM texts WHERE len(words) >= 35)),
+twice AS (SELECT seq FROM starts GROUP BY seq HAVING COUNT(*) > 1),
+gone AS (SELECT DISTINCT row_id, UNNEST(range(i, i + 35)) AS place FROM starts JOIN twice USING (seq)),
+each_word AS (SELECT row_id, UNNEST(words) AS word, UNNEST(range(1, len(words) + 1)) AS place FROM texts),
+kept AS (
+  SELECT row_id, string_agg(word, ' ' ORDER BY place) AS kept, COUNT(*) AS n
+  FROM each_word ANTI JOIN gone USING (row_id, place) GROUP BY row_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - COALESCE(n, 0) AS BIGINT) AS n_removed,
+       sha256(COALESCE(kept, '')) AS kept_sha256
+FROM texts LEFT JOIN kept USING (row_id)"""
+
+_URLS = """
+WITH urls AS (
+  SELECT page_id,
+         translate(CASE WHEN url LIKE '%://%' THEN regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1) ELSE '' END,
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         CASE WHEN url LIKE '%://%' THEN regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) ELSE '' END AS path
+  FROM pages),
+rules(rule_host, rule_path, verdict) AS (
+  VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+fit AS (
+  SELECT page_id, rule_host || rule_path AS rule, verdict,
+         ROW_NUMBER() OVER (PARTITION BY page_id ORDER BY length(rule_host || rule_path) DESC, length(rule_host) DESC) AS nth
+  FROM urls JOIN rules ON (host = rule_host OR host LIKE '%.' || rule_host) AND starts_with(path, rule_path))
+SELECT urls.page_id, host, path, rule, COALESCE(verdict, 'allow') AS verdict
+FROM urls LEFT JOIN fit ON fit.page_id = urls.page_id AND nth = 1"""
+
+_VECTORS = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+good AS (SELECT * FROM v WHERE list_inner_product(e, e) > 0),
+links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM good a JOIN good b ON a.vec_id <> b.vec_id
+  AND list_inner_product(a.e, b.e) >= 0.9 * sqrt(list_inner_product(a.e, a.e)) * sqrt(list_inner_product(b.e, b.e))),
+reach(x, y) AS (SELECT x, y FROM links UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x),
+low AS (SELECT x, MIN(y) AS y FROM reach GROUP BY x),
+many AS (SELECT x, COUNT(*) AS n FROM links GROUP BY x)
+SELECT vec_id, COALESCE(n, 0) AS n_links, LEAST(vec_id, COALESCE(y, vec_id)) AS component_id,
+       vec_id = LEAST(vec_id, COALESCE(y, vec_id)) AS kept
+FROM v LEFT JOIN low ON low.x = vec_id LEFT JOIN many ON many.x = vec_id"""
+
+
+def _case(column: str, weights: dict, other: str) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {v!r}" for k, v in weights.items()) + f" ELSE {other} END"
+
+
+def _mix_sql() -> str:
+    """Budgets level by level, then the texts of each epoch in seeded order."""
+    word = r"[^ \t\n\x0B\f\r]+"
+    steps = [
+        f"""
+rows_ AS (SELECT doc_id, COALESCE(lang, '?') AS lang, COALESCE(source, '?') AS source,
+  {_case("source", dict(MIX.domain_of), repr(MIX.other_domain))} AS domain,
+  CAST(COALESCE(len(regexp_extract_all(text, '{word}')), 0) AS BIGINT) AS n_tokens FROM documents),
+leaves AS (SELECT domain, lang, source, SUM(n_tokens) AS tokens FROM rows_ GROUP BY ALL),
+caps AS (SELECT *, tokens * {MIX.max_epochs} AS cap FROM leaves WHERE tokens > 0),
+given0 AS (SELECT LEAST((SELECT SUM(cap) FROM caps), (SELECT SUM(tokens) * {MIX.budget_share} // 1000 FROM leaves)) AS budget)"""
+    ]
+    above: list[str] = []
+    for level, child in enumerate(mixing.LEAF):
+        names = ", ".join([*above, child])
+        part = f"PARTITION BY {', '.join(above)}" if above else ""
+        using = f"JOIN given{level} USING ({', '.join(above)})" if above else f", given{level}"
+        keys = f"{', '.join(above)}, " if above else ""
+        steps.append(f"""
+nodes{level} AS (SELECT {names}, cap, budget, {_case(child, dict(MIX.weights(level)), "1")} AS w
+  FROM (SELECT {names}, SUM(cap) AS cap FROM caps GROUP BY ALL) {using}),
+fill{level} AS (SELECT *,
+    COALESCE(SUM(cap) OVER ({part} ORDER BY CAST(cap AS DOUBLE) / w, {child} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+    SUM(w) OVER ({part} ORDER BY CAST(cap AS DOUBLE) / w, {child} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest
+  FROM nodes{level}),
+flag{level} AS (SELECT *, (budget - before) * w >= cap * rest AS whole FROM fill{level}),
+open{level} AS (SELECT *, budget - SUM(CASE WHEN whole THEN cap ELSE 0 END) OVER ({part}) AS left_,
+    SUM(CASE WHEN whole THEN 0 ELSE w END) OVER ({part}) AS open_w FROM flag{level}),
+part{level} AS (SELECT *, CASE WHEN whole THEN cap ELSE left_ * w // open_w END AS part_ FROM open{level}),
+over{level} AS (SELECT *, budget - SUM(part_) OVER ({part}) AS over_,
+    ROW_NUMBER() OVER ({part} ORDER BY whole, {child}) AS nth FROM part{level}),
+given{level + 1} AS (SELECT {keys}{child}, part_ + CASE WHEN NOT whole AND nth <= over_ THEN 1 ELSE 0 END AS budget FROM over{level})""")
+        above.append(child)
+    steps.append(f"""
+plans AS (SELECT domain, lang, source, budget // tokens AS epochs, budget % tokens AS rest
+  FROM leaves JOIN given3 USING (domain, lang, source) WHERE budget > 0),
+keyed AS (SELECT rows_.*, epochs, rest,
+    CAST('0x' || substr(md5('{MIX.seed}:' || CAST(epochs + 1 AS BIGINT) || ':' || COALESCE(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS key
+  FROM rows_ JOIN plans USING (domain, lang, source) WHERE n_tokens > 0),
+sums AS (SELECT *, SUM(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY key)
+    - SUM(n_tokens) OVER (PARTITION BY domain, lang, source, key) AS upto FROM keyed),
+taken AS (SELECT *, CAST(epochs AS INTEGER) + CASE WHEN upto < rest THEN 1 ELSE 0 END AS copies FROM sums)
+SELECT doc_id, domain, lang, source, CAST(UNNEST(range(1, copies + 1)) AS INTEGER) AS epoch, n_tokens FROM taken""")
+    return "WITH " + ",".join(steps)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_substring_dedup": _WORDS_GONE,
+        "op2_url_filter": _URLS,
+        "op3_embedding_dedup": _VECTORS,
+        "op6_mixing": _mix_sql(),
+    }
