@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
@@ -36,6 +37,7 @@ def main() -> None:
         **{
             "spark.ui.enabled": "false",
             "spark.driver.memory": "8g",
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="bench-"),
             "spark.sql.shuffle.partitions": cpus,
             # Shuffles here are a few MB: let them still use all cores.
             "spark.sql.adaptive.coalescePartitions.minPartitionSize": "200k",

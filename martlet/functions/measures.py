@@ -1,8 +1,9 @@
 """Revenue measures.
 
 A line amount is a double. A sum of amounts is exact: it is taken over whole
-ten-thousandths, so it does not depend on the order in which tasks finish, and
-becomes a double only when a result is handed out.
+hundred-millionths, so it does not depend on the order in which tasks finish, and
+becomes a double only when a result is handed out. Single amounts, sums and the SQL
+twins share the eight decimals and the rule that halves are rounded away from zero.
 """
 
 from __future__ import annotations
@@ -10,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MONEY = "decimal(18,4)"
+SCALE = 8
+MONEY = f"decimal(28,{SCALE})"
 
 _LOW_BITS = 20
 
@@ -32,18 +34,20 @@ def net_revenue(price: Column, quantity: Column, discount: Column) -> Column:
 
 
 def money(amount: Column) -> Column:
-    """One amount at four decimals, which also drops float32 noise."""
+    """One amount at the scale of the sums."""
     return amount.cast(MONEY)
 
 
-def exact_sum(amount: str, scale: int = 4) -> Column:
+def exact_sum(amount: str, scale: int = SCALE) -> Column:
     """Exact sum of a double SQL expression at ``scale`` decimals, as ``decimal(28, scale)``.
 
     The scaled amounts are added as two bigint sums (high and low bits), which
     stay in generated code and cannot overflow before 8e12 rows; a plain decimal
-    sum costs about three times as much per row.
+    sum costs about three times as much per row. An amount of over 9e18 units fails
+    the job, which takes ANSI mode.
     """
-    units = f"CAST(rint(CAST({amount} AS DOUBLE) * {10**scale}) AS BIGINT)"
+    scaled = f"CAST({amount} AS DOUBLE) * {10**scale}"
+    units = f"CAST(sign({scaled}) * floor(abs({scaled}) + 0.5D) AS BIGINT)"
     high = f"CAST(sum(shiftright({units}, {_LOW_BITS})) AS DECIMAL(24,0))"
     low = f"CAST(sum({units} & {(1 << _LOW_BITS) - 1}) AS DECIMAL(24,0))"
     whole = f"CAST({high} * {1 << _LOW_BITS}BD + {low} AS DECIMAL(28,0))"

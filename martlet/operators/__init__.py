@@ -1,10 +1,10 @@
 from martlet.operators.growth import period_change, same_period_before
-from martlet.operators.prefix import SINGLE_TASK_ROWS, ordered_prefix
+from martlet.operators.prefix import SLICES, ordered_prefix
 from martlet.operators.ranking import rank_by, running_total, top_n_per_group
 from martlet.operators.shares import flag_above_average, group_share, mean_of, share_of_total
 
 __all__ = [
-    "SINGLE_TASK_ROWS",
+    "SLICES",
     "flag_above_average",
     "group_share",
     "mean_of",

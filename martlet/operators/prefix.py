@@ -1,15 +1,14 @@
 """Sums over everything that sorts before a row, without one task seeing all rows.
 
-A window with ORDER BY but no PARTITION BY moves its whole input to one task.
-That is right for a month series and wrong for millions of sellers, so:
-
-* at most ``SINGLE_TASK_ROWS`` rows, known beforehand or counted: plain window;
-* more: ties are collapsed by grouping on the sort value, the groups are
-  range-partitioned into slices, each slice is summed by itself, and the few
-  slice totals carry the sum from one slice to the next.
-
-The slices are written once and read back, so that every later step, also one
-that is repeated after an executor is lost, sees the same slice borders.
+A window with ORDER BY but no PARTITION BY moves its whole input to one task. That
+is right for a series that is short by its nature, such as months, and wrong for
+sellers. So the general form collapses ties by grouping on the sort value, cuts the
+values into slices, sums each slice by itself, and lets the few slice totals carry
+the sum from one slice to the next.
+
+The cuts are percentiles of the values, one row of at most ``SLICES`` numbers. They
+are a scalar subquery, so they are in the plan as literals: each branch and each
+repeated task sees the same slices, and nothing is written.
 """
 
 from __future__ import annotations
@@ -18,9 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from martlet.session import materialise
-
-SINGLE_TASK_ROWS = 200_000
+SLICES = 256
 
 
 def sort_key(column: str, descending: bool) -> Column:
@@ -50,9 +47,18 @@ def _in_slices(df: DataFrame, order: str, value: Column, descending: bool, slice
     groups = df.groupBy(F.col(order).alias("_key")).agg(
         F.sum(value).alias("_weight"), F.count("*").alias("_rows")
     )
-    placed = materialise(
-        groups.repartitionByRange(slices, key).withColumn("_slice", F.spark_partition_id()),
-        "prefix-slices",
+    at = [i / slices for i in range(1, slices)] or [0.5]
+    # The other two fields make it read what the rows read, so that all share one shuffle.
+    cuts = groups.agg(
+        F.struct(F.percentile_approx("_key", at, 20 * slices).alias("at"), F.max("_weight"), F.max("_rows"))
+    ).scalar()
+    below = F.greatest(F.size(F.filter("_cuts", lambda c: c < F.col("_key"))), F.lit(0))
+    place = F.coalesce(slices - below if descending else below, F.lit(0))
+    nulls = -1 if descending else slices + 1
+    placed = (
+        groups.withColumn("_cuts", cuts["at"])
+        .withColumn("_slice", F.when(F.col("_key").isNull(), nulls).otherwise(place))
+        .drop("_cuts")
     )
     earlier = W.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     before = (
@@ -68,8 +74,7 @@ def _in_slices(df: DataFrame, order: str, value: Column, descending: bool, slice
     inside = W.partitionBy("_slice").orderBy(key)
     upto = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
     rows_upto = _joined(F.sum("_rows").over(upto), F.col("_rows_before"))
-    # One row per slice: the broadcast is bounded by the number of slices.
-    sums = placed.join(F.broadcast(before), "_slice").select(
+    sums = placed.join(before, "_slice").select(
         "_key",
         _joined(F.sum("_weight").over(upto), F.col("_weight_before")).alias("_upto"),
         F.col("_weight").alias("_tied"),
@@ -85,9 +90,8 @@ def ordered_prefix(
     weight: str | None = None,
     *,
     descending: bool = False,
-    rows_bound: int | None = None,
-    slices: int | None = None,
-    single_task_rows: int = SINGLE_TASK_ROWS,
+    short_series: bool = False,
+    slices: int = SLICES,
 ) -> DataFrame:
     """``df`` plus, for each row, sums over all rows up to and including its ties.
 
@@ -96,14 +100,10 @@ def ordered_prefix(
     ``_rank``        1 + number of rows sorting before
     ``_dense_rank``  1 + number of distinct values sorting before
 
-    ``rows_bound`` is a known upper bound of the row count. Without a small one the
-    rows are written once and counted, and the count decides.
+    ``order`` is a number, a date or a timestamp. ``short_series`` is for rows that
+    are few by their nature (months), whatever the size of the data: one task sorts them.
     """
     value = F.lit(None).cast("bigint") if weight is None else F.col(weight)
-    if rows_bound is not None and rows_bound <= single_task_rows:
-        return _in_one_task(df, order, value, descending)
-    df = materialise(df, "prefix-rows")
-    if df.count() <= single_task_rows:
+    if short_series:
         return _in_one_task(df, order, value, descending)
-    slices = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return _in_slices(df, order, value, descending, slices)

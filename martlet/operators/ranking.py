@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from martlet.operators.prefix import SINGLE_TASK_ROWS, ordered_prefix
+from martlet.operators.prefix import ordered_prefix
 
 
 def rank_by(
@@ -16,19 +16,15 @@ def rank_by(
     *,
     method: str = "rank",
     descending: bool = True,
-    rows_bound: int | None = None,
-    single_task_rows: int = SINGLE_TASK_ROWS,
+    short_series: bool = False,
 ) -> DataFrame:
     """Rank of each row over the whole of ``df``; ties share a rank.
 
-    ``method`` is ``rank`` (gaps after ties) or ``dense``. ``rows_bound`` is a
-    known upper bound of the row count; without a small one the sliced form runs.
+    ``method`` is ``rank`` (gaps after ties) or ``dense``.
     """
     if method not in ("rank", "dense"):
         raise ValueError(f"unknown rank method {method!r}")
-    sums = ordered_prefix(
-        df, order, descending=descending, rows_bound=rows_bound, single_task_rows=single_task_rows
-    )
+    sums = ordered_prefix(df, order, descending=descending, short_series=short_series)
     rank = "_dense_rank" if method == "dense" else "_rank"
     return sums.select(*df.columns, F.col(rank).alias(into))
 
@@ -40,13 +36,10 @@ def running_total(
     into: str = "running_total",
     *,
     descending: bool = False,
-    rows_bound: int | None = None,
-    single_task_rows: int = SINGLE_TASK_ROWS,
+    short_series: bool = False,
 ) -> DataFrame:
     """Sum of ``value`` over all rows up to this one; tied rows share the sum."""
-    sums = ordered_prefix(
-        df, order, value, descending=descending, rows_bound=rows_bound, single_task_rows=single_task_rows
-    )
+    sums = ordered_prefix(df, order, value, descending=descending, short_series=short_series)
     return sums.select(*df.columns, F.col("_upto").alias(into))
 
 

@@ -6,8 +6,8 @@ from __future__ import annotations
 from martlet.registry import SMALL_SHARE
 from martlet.sources.schemas import WHOLESALE, WHOLESALE_FOREIGN_KEYS
 
-_NET = "CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18,4))"
-_LIST_NET = "CAST(p_retailprice * l_quantity * (1 - l_discount) AS DECIMAL(18,4))"
+_NET = "CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(28,8))"
+_LIST_NET = "CAST(p_retailprice * l_quantity * (1 - l_discount) AS DECIMAL(28,8))"
 
 _ORDER_VALUES = f"""
 order_values AS (
@@ -179,8 +179,8 @@ FROM rules"""
 
 
 _ADDITIVE = f"""COUNT(*) AS line_count,
-       CAST(SUM(CAST(l_quantity AS DECIMAL(18,4))) AS DOUBLE) AS quantity,
-       CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,4))) AS DOUBLE) AS gross_revenue,
+       CAST(SUM(CAST(l_quantity AS DECIMAL(28,8))) AS DOUBLE) AS quantity,
+       CAST(SUM(CAST(l_extendedprice AS DECIMAL(28,8))) AS DOUBLE) AS gross_revenue,
        CAST(SUM({_NET}) AS DOUBLE) AS net_revenue"""
 
 
@@ -349,7 +349,7 @@ FROM customer LEFT JOIN (nation JOIN region ON n_regionkey = r_regionkey) ON c_n
 SELECT o_orderkey AS order_id, l_partkey AS product_id, o_custkey AS customer_id, l_suppkey AS seller_id,
        CAST(o_orderdate AS DATE) AS order_date, l_quantity AS quantity,
        l_extendedprice / l_quantity AS unit_price, l_discount AS discount,
-       CAST(CAST(l_extendedprice AS DECIMAL(18,4)) AS DOUBLE) AS gross_revenue,
+       CAST(CAST(l_extendedprice AS DECIMAL(28,8)) AS DOUBLE) AS gross_revenue,
        CAST({_NET} AS DOUBLE) AS net_revenue
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
         "revenue_by_nation": f"""
@@ -395,6 +395,22 @@ UNION ALL SELECT 'sellers', COUNT(*) FROM supplier
 UNION ALL SELECT 'categories', COUNT(DISTINCT p_type) FROM part
 UNION ALL SELECT 'lines', COUNT(*) FROM lineitem""",
         "preview_customers": "SELECT * FROM customer ORDER BY c_custkey LIMIT 5",
+        "growth_table": f"""WITH {_GROWTH}
+SELECT * FROM (
+  SELECT 'up' AS direction, month, growth_rate, ROW_NUMBER() OVER (ORDER BY growth_rate DESC, month) AS place
+  FROM growth WHERE growth_rate > 0 QUALIFY place <= 5)
+UNION ALL SELECT * FROM (
+  SELECT 'down', month, growth_rate, ROW_NUMBER() OVER (ORDER BY growth_rate, month) AS place
+  FROM growth WHERE growth_rate < 0 QUALIFY place <= 3)""",
+        "sql_text": """
+SELECT o_orderpriority, COUNT(*) AS n_orders, MIN(CAST(o_orderdate AS DATE)) AS first_date
+FROM orders WHERE o_orderstatus = 'F' GROUP BY o_orderpriority""",
+        "orders_by_status": """
+SELECT o_orderkey AS order_id, o_orderstatus AS status, o_orderpriority AS priority FROM orders
+WHERE o_orderstatus = 'F' AND o_orderpriority IN ('1-URGENT', '2-HIGH')""",
+        "order_customer_sample": """
+SELECT o_orderkey AS order_id, c_name AS customer_name, CAST(o_orderdate AS DATE) AS order_date
+FROM orders JOIN customer ON o_custkey = c_custkey ORDER BY o_orderkey LIMIT 10""",
         "preview_orders": "SELECT * FROM orders ORDER BY o_orderkey LIMIT 5",
         "key_duplicates": _key_duplicates(),
         "fk_orphans": _fk_orphans(),

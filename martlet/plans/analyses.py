@@ -21,8 +21,6 @@ from martlet.functions import (
     signed_percent_label,
 )
 from martlet.operators import (
-    SINGLE_TASK_ROWS,
-    flag_above_average,
     group_share,
     mean_of,
     period_change,
@@ -37,14 +35,10 @@ from martlet.plans.totals import (
     monthly_sales,
     order_values,
     product_totals,
-    reused_order_values,
     seller_totals,
 )
 from martlet.sources.star import Star
 
-# A month series cannot have more rows than there are months in the date range.
-MONTHS_BOUND = 12 * 9999 + 1
-
 
 def with_double(df: DataFrame, *columns: str) -> DataFrame:
     """Exact decimals leave the library as doubles."""
@@ -90,29 +84,25 @@ def headline_cards(star: Star) -> DataFrame:
 # --- sellers -------------------------------------------------------------------
 
 
-def seller_rank(star: Star, single_task_rows: int = SINGLE_TASK_ROWS) -> DataFrame:
+def seller_rank(star: Star) -> DataFrame:
     """Sellers by sales, ties sharing a rank, with their share of the total."""
     shared = share_of_total(seller_totals(star), "total_sales", "pct_of_total")
     ranked = rank_by(
         shared,
         "total_sales",
         "sales_rank",
-        rows_bound=star.sellers.count(),
-        single_task_rows=single_task_rows,
     )
     columns = ("seller_id", "seller_name", "total_sales", "sales_rank", "pct_of_total")
     return with_double(ranked, "total_sales").select(*columns).orderBy("sales_rank", "seller_id")
 
 
-def seller_dense_rank(star: Star, single_task_rows: int = SINGLE_TASK_ROWS) -> DataFrame:
+def seller_dense_rank(star: Star) -> DataFrame:
     """Sellers by sales without gaps after ties."""
     ranked = rank_by(
         seller_totals(star),
         "total_sales",
         "sales_rank",
         method="dense",
-        rows_bound=star.sellers.count(),
-        single_task_rows=single_task_rows,
     )
     return with_double(ranked, "total_sales").orderBy("sales_rank", "seller_id")
 
@@ -144,7 +134,7 @@ def _months(star: Star, complete_periods_only: bool) -> DataFrame:
 
 def monthly_running_total(star: Star) -> DataFrame:
     """Sales per month and their running total."""
-    running = running_total(monthly_sales(star), "month", "total_sales", rows_bound=MONTHS_BOUND)
+    running = running_total(monthly_sales(star), "month", "total_sales", short_series=True)
     return with_double(running, "total_sales", "running_total").orderBy(F.col("month").asc_nulls_last())
 
 
@@ -209,13 +199,34 @@ def growth_extremes(star: Star) -> DataFrame:
     )
 
 
+def growth_table(star: Star, up: int = 5, down: int = 3) -> DataFrame:
+    """The ``up`` months that grew most and the ``down`` that fell most; the earlier month wins a tie."""
+    growth = period_change(monthly_sales(star), ["month"], "total_sales").filter(
+        F.col("growth_rate").isNotNull()
+    )
+    ends = [
+        growth.filter(sign)
+        .orderBy(order, "month")
+        .limit(n)
+        .select(F.lit(name).alias("direction"), "month", "growth_rate", F.row_number().over(W.orderBy(order, "month")).cast("bigint").alias("place"))
+        for name, sign, order, n in (
+            ("up", F.col("growth_rate") > 0, F.desc("growth_rate"), up),
+            ("down", F.col("growth_rate") < 0, F.asc("growth_rate"), down),
+        )
+    ]
+    return ends[0].unionByName(ends[1])
+
+
 # --- customers -----------------------------------------------------------------
 
 
 def flagged_orders(star: Star) -> DataFrame:
     """Orders with their exact value, labelled against the average over all orders."""
-    values = reused_order_values(star).select("customer_id", "order_id", "order_value")
-    return flag_above_average(values, "order_value")
+    values = order_values(star).select("customer_id", "order_id", "order_value")
+    # By way of customers, the average needs the columns that the orders need, so both read one shuffle.
+    totals = values.groupBy("customer_id").agg(F.sum("order_value").alias("total"), F.count("*").alias("n"))
+    average = totals.agg(mean_of("total", F.sum("n"))).scalar()
+    return values.withColumn("value_category", above_average(as_double(F.col("order_value")), average))
 
 
 def order_value_flag(star: Star, sort: bool = True) -> DataFrame:

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from martlet.functions import as_double, percent_of
 from martlet.functions.labels import ABOVE
 from martlet.operators import (
-    SINGLE_TASK_ROWS,
     mean_of,
     ordered_prefix,
     running_total,
@@ -55,7 +54,7 @@ def leader_ratio(star: Star) -> DataFrame:
     return ends.withColumn("ratio", F.col("best_sales") / F.nullif(F.col("worst_sales"), F.lit(0.0)))
 
 
-def category_pareto(star: Star, single_task_rows: int = SINGLE_TASK_ROWS) -> DataFrame:
+def category_pareto(star: Star) -> DataFrame:
     """Categories from largest to smallest with their cumulative share."""
     totals = category_totals(star)
     rows = running_total(
@@ -64,8 +63,6 @@ def category_pareto(star: Star, single_task_rows: int = SINGLE_TASK_ROWS) -> Dat
         "total_sales",
         "cumulative",
         descending=True,
-        rows_bound=star.categories.count(),
-        single_task_rows=single_task_rows,
     )
     total = totals.agg(F.sum("total_sales")).scalar()
     rows = rows.withColumn("cumulative_pct", percent_of(F.col("cumulative"), total))
@@ -113,7 +110,7 @@ def product_beats_category(star: Star) -> DataFrame:
     points = best.select("*", F.lit(0).alias("is_category")).unionByName(
         categories.select("total_sales", F.lit(1).alias("is_category")), allowMissingColumns=True
     )
-    sums = ordered_prefix(points, "total_sales", "is_category", rows_bound=2 * star.categories.count())
+    sums = ordered_prefix(points, "total_sales", "is_category")
     own_below = F.when(F.col("own") < F.col("total_sales"), 1).otherwise(0)
     beaten = F.col("_upto") - F.col("_tied") - own_below
     rows = sums.filter(F.col("is_category") == 0).select(

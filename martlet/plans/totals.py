@@ -13,12 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from martlet.functions import exact_sum
-from martlet.session import materialise
 from martlet.sources.star import Star
 
 PRICES = ("charged", "list")
-# From this many orders on it is cheaper to write the order values than to join twice.
-MANY_ORDERS = 50_000_000
 
 
 def order_values(star: Star) -> DataFrame:
@@ -32,18 +29,6 @@ def order_values(star: Star) -> DataFrame:
     return star.orders.join(per_order, "order_id")
 
 
-def reused_order_values(star: Star, many: int = MANY_ORDERS) -> DataFrame:
-    """Order values for an analysis that reads them several times (their average, a sort).
-
-    With many orders they are written once to the scratch folder; a small plan is
-    cheaper to run again. The count reads file footers only.
-    """
-    values = order_values(star)
-    if "order_values" in star.shared or star.orders.count() <= many:
-        return values
-    return materialise(values, "order-values")
-
-
 def monthly_sales(star: Star) -> DataFrame:
     """``month`` (first day) and exact ``total_sales``; orders without a date share a NULL month."""
     return (
@@ -83,13 +68,13 @@ def product_totals(star: Star, price: str = "charged") -> DataFrame:
         per_product = star.lines.groupBy("product_id").agg(exact_sum("net").alias("total_sales"))
         named = per_product.join(products, "product_id")
         return named.select("product_id", "product_name", "category_id", "total_sales")
-    kept = exact_sum("quantity * (1 - discount)").cast("decimal(24,4)")
+    kept = exact_sum("quantity * (1 - discount)").cast("decimal(20,8)")
     per_product = star.lines.groupBy("product_id").agg(kept.alias("kept"))
     return per_product.join(products, "product_id").select(
         "product_id",
         "product_name",
         "category_id",
-        (F.col("kept") * F.col("list_price").cast("decimal(12,4)")).cast("decimal(28,4)").alias("total_sales"),
+        (F.col("kept") * F.col("list_price").cast("decimal(18,8)")).cast("decimal(28,8)").alias("total_sales"),
     )
 
 

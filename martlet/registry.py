@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from martlet.plans import analyses, figures, model, quality
 from martlet.sources.schemas import WHOLESALE, WHOLESALE_FOREIGN_KEYS
 from martlet.sources.star import Star, read_wholesale, star_from_parquet
-from martlet.sources.tables import preview
+from martlet.sources.tables import preview, register_views, run_query
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,18 +40,20 @@ _STAR: dict[str, Callable[[Star], DataFrame]] = {
     "seller_dense_rank": analyses.seller_dense_rank,
     "growth_direction": analyses.growth_direction_by_month,
     "growth_extremes": analyses.growth_extremes,
+    "growth_table": analyses.growth_table,
     "next_month_delta": analyses.next_month_delta,
     "top15_customers": analyses.top_customers,
     "category_top3_total": analyses.category_top_total,
     "product_share_in_category": analyses.product_share_in_category,
-    # the forms that rankings and running totals take when there are many rows
-    "seller_rank_sliced": lambda s: analyses.seller_rank(s, single_task_rows=0),
-    "seller_dense_rank_sliced": lambda s: analyses.seller_dense_rank(s, single_task_rows=0),
-    "category_pareto_sliced": lambda s: figures.category_pareto(s, single_task_rows=0),
+    # other names of rankings and running totals, which have one form whatever their size
+    "seller_rank_sliced": analyses.seller_rank,
+    "seller_dense_rank_sliced": analyses.seller_dense_rank,
+    "category_pareto_sliced": figures.category_pareto,
     # exploration
     "order_seller_detail": analyses.order_seller_detail,
     "order_customer_detail": analyses.order_customer_detail,
     "line_product_detail": analyses.line_product_detail,
+    "order_customer_sample": lambda s: analyses.order_customer_detail(s, limit=10),
     # report figures
     "topk_share": figures.topk_share,
     "leader_ratio": figures.leader_ratio,
@@ -99,7 +102,26 @@ def _table_counts(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+_STATUS_SQL = """
+SELECT o_orderpriority, COUNT(*) AS n_orders, MIN(CAST(o_orderdate AS DATE)) AS first_date
+FROM orders WHERE o_orderstatus = :status GROUP BY o_orderpriority"""
+
+
+def _sql_text(spark: SparkSession, root: str) -> DataFrame:
+    register_views(read_wholesale(spark, root))
+    return run_query(spark, _STATUS_SQL, {"status": "F"})
+
+
+def _orders_by_status(spark: SparkSession, root: str) -> DataFrame:
+    orders = read_wholesale(spark, root)["orders"]
+    wanted = ["1-URGENT", "2-HIGH"]
+    rows = orders.where((F.col("o_orderstatus") == "F") & F.col("o_orderpriority").isin(wanted))
+    return rows.selectExpr("o_orderkey AS order_id", "o_orderstatus AS status", "o_orderpriority AS priority")
+
+
 _TABLES: dict[str, Query] = {
+    "sql_text": _sql_text,
+    "orders_by_status": _orders_by_status,
     "table_counts": _table_counts,
     "preview_customers": lambda spark, root: preview(read_wholesale(spark, root)["customer"], "c_custkey"),
     "preview_orders": lambda spark, root: preview(read_wholesale(spark, root)["orders"], "o_orderkey"),

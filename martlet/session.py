@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,24 +52,12 @@ def build_session(
     return builder.getOrCreate()
 
 
-_local_scratch: str | None = None
-
-
 def scratch_dir(spark: SparkSession) -> str:
-    """Folder for intermediate tables: the cluster's checkpoint folder.
-
-    Only a local session without that setting falls back to a temporary folder,
-    because a machine-local path is invisible to other executors.
-    """
-    global _local_scratch
+    """Folder for intermediate tables: the shared folder named in ``spark.checkpoint.dir``."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/martlet-{spark.sparkContext.applicationId}"
-    if not spark.sparkContext.master.startswith("local"):
+    if not shared:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    if _local_scratch is None:
-        _local_scratch = tempfile.mkdtemp(prefix="martlet-")
-    return _local_scratch
+    return f"{shared.rstrip('/')}/martlet-{spark.sparkContext.applicationId}"
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

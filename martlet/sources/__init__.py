@@ -7,7 +7,6 @@ from martlet.sources.tables import (
     read_tables,
     register_views,
     run_query,
-    to_bounded_pandas,
 )
 from martlet.sources.writers import write_bucketed, write_table
 
@@ -23,7 +22,6 @@ __all__ = [
     "run_query",
     "star_from_parquet",
     "star_from_retail",
-    "to_bounded_pandas",
     "write_bucketed",
     "write_table",
 ]

@@ -15,22 +15,27 @@ from pyspark.sql import types as T
 
 from martlet.sources.schemas import RETAIL, TableSpec
 
-_STATEMENT = r"^INSERT INTO (?:\w+\.)?(\w+) VALUES \((.*)\);\s*$"
+_STATEMENT = r"(?i)^\s*INSERT\s+INTO\s+(?:\w+\.)?(\w+)\s+VALUES\s*\((.*)\)\s*;\s*$"
+_INSERT = r"(?i)^\s*INSERT\s+INTO\b"
+_COPY = r"(?i)^\s*COPY\b.*\bFROM\s+stdin"
 # One literal: a quoted text with doubled quotes inside, or a bare token.
 _LITERAL = r"'[^']*+(?:''[^']*+)*+'|[^\s,']+"
 
 
-def _statements(spark: SparkSession, path: str) -> DataFrame:
-    """``table_name, literals`` per INSERT; a statement that does not end on its
-    line fails the job instead of being skipped."""
+def _statements(spark: SparkSession, path: str, specs: Mapping[str, TableSpec]) -> DataFrame:
+    """``table_name, literals`` per INSERT, in any case and indentation.
+
+    No row is skipped: a statement that does not end on its line, one for a table
+    without a declaration, and rows under COPY fail the job.
+    """
     line = F.col("value")
-    table = F.regexp_extract(line, _STATEMENT, 1)
-    whole = F.when(table != "", table).otherwise(
-        F.raise_error(F.concat(F.lit("unreadable INSERT: "), line)).cast("string")
+    table = F.lower(F.regexp_extract(line, _STATEMENT, 1))
+    whole = F.when(table.isin([name.lower() for name in specs]), table).otherwise(
+        F.raise_error(F.concat(F.lit("unreadable INSERT or undeclared table: "), line)).cast("string")
     )
     return (
         spark.read.text(path)
-        .filter(line.startswith("INSERT INTO"))
+        .filter(line.rlike(_INSERT) | line.rlike(_COPY))
         .select(
             whole.alias("table_name"),
             F.regexp_extract_all(F.regexp_extract(line, _STATEMENT, 2), F.lit(_LITERAL), 0).alias("literals"),
@@ -50,7 +55,7 @@ def _value(literal: Column, kind: T.DataType) -> Column:
 def _typed(statements: DataFrame, spec: TableSpec) -> DataFrame:
     """Cast literals by position; a wrong number of literals fails the job."""
     fields = spec.schema.fields
-    rows = statements.filter(F.col("table_name") == spec.name)
+    rows = statements.filter(F.col("table_name") == spec.name.lower())
     checked = F.when(F.size("literals") == len(fields), F.col("literals")).otherwise(
         F.raise_error(F.lit(f"{spec.name}: expected {len(fields)} values")).cast("array<string>")
     )
@@ -64,20 +69,24 @@ def read_dump(
     spark: SparkSession, path: str, specs: Mapping[str, TableSpec] = RETAIL
 ) -> dict[str, DataFrame]:
     """Lazy typed DataFrames straight from the dump, one scan per table used."""
-    statements = _statements(spark, path)
+    statements = _statements(spark, path, specs)
     return {name: _typed(statements, spec) for name, spec in specs.items()}
 
 
 def convert_dump(
     spark: SparkSession, path: str, root: str, specs: Mapping[str, TableSpec] = RETAIL
-) -> None:
-    """Convert a large dump to one Parquet folder per table, ``root/<name>``.
+) -> dict[str, int]:
+    """Convert a large dump to one Parquet folder per table, ``root/<name>``; rows loaded by table.
 
     The text is parsed once into a copy partitioned by table; each table then
-    reads only its own partition.
+    reads only its own partition. The copy goes when the tables are written.
     """
     staged = f"{root}/_statements"
-    _statements(spark, path).write.mode("overwrite").partitionBy("table_name").parquet(staged)
+    _statements(spark, path, specs).write.mode("overwrite").partitionBy("table_name").parquet(staged)
     statements = spark.read.schema("literals array<string>, table_name string").parquet(staged)
     for name, spec in specs.items():
         _typed(statements, spec).write.mode("overwrite").parquet(f"{root}/{name}")
+    loaded = {name: spark.read.schema(spec.schema).parquet(f"{root}/{name}").count() for name, spec in specs.items()}
+    folder = spark._jvm.org.apache.hadoop.fs.Path(staged)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return loaded

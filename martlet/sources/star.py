@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martlet.functions import as_double, full_name, gross_revenue, money, net_of
+from martlet.functions import as_double, full_name, gross_revenue, net_of
 from martlet.sources.schemas import WHOLESALE
 
 
@@ -84,7 +84,7 @@ def star_from_retail(tables: Mapping[str, DataFrame]) -> Star:
 
     def clean(column: str) -> Column:
         """A float32 as the decimal it was entered as: 9.80000019 is 9.8."""
-        return as_double(money(c(column)))
+        return as_double(c(column).cast("string"))
 
     gross = gross_revenue(clean("unit_price"), c("quantity"))
     return Star(

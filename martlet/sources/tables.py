@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,11 +42,3 @@ def preview(df: DataFrame, key: str | Iterable[str], n: int = 5) -> DataFrame:
     """First ``n`` rows by key, so that a preview is repeatable."""
     keys = [key] if isinstance(key, str) else list(key)
     return df.orderBy(*[F.col(k).asc_nulls_last() for k in keys]).limit(n)
-
-
-def to_bounded_pandas(df: DataFrame, max_rows: int = 100_000) -> pd.DataFrame:
-    """Hand a report-sized result to the presentation layer; refuse anything larger."""
-    out = df.limit(max_rows + 1).toPandas()
-    if len(out) > max_rows:
-        raise ValueError(f"result has more than {max_rows} rows: write it to a table instead")
-    return out

@@ -3,7 +3,9 @@ from __future__ import annotations
 import pytest
 from conftest import category, customer, day, employee, line, order, product, rows
 
-from martlet.plans import analyses, figures, totals
+from pyspark.sql import functions as F
+
+from martlet.plans import analyses, figures, model, totals
 
 SHOP = dict(
     employees=[employee(1, "Ann", "Lee"), employee(2, "Bob", "Ray"), employee(3, "Cid", "Poe")],
@@ -157,12 +159,24 @@ def test_order_flag_is_strict(star, shop):
     assert {r[0] for r in rows(analyses.order_value_flag(even), "value_category")} == {"Below Average"}
 
 
-def test_many_orders_are_written_once(shop, monkeypatch):
-    want = rows(analyses.order_value_flag(shop))
-    monkeypatch.setattr(totals.reused_order_values, "__defaults__", (1,))
-    flagged = analyses.order_value_flag(shop)
-    assert rows(flagged) == want
-    assert all("order-values" in f for f in flagged.inputFiles())
+def test_small_amounts_are_not_cut(star):
+    shop = changed(star, order_details=[line(1, i, 0.10, discount=0.0005) for i in range(1, 5)])
+    total = analyses.kpi_summary(shop).first()["total_revenue"]
+    assert total == 0.3998
+    assert round(model.fact_sales(shop).agg(F.sum("net_revenue")).first()[0], 12) == total
+
+
+def test_growth_table(star):
+    sales = [100, 200, 150, 300, 300, 290, 580, 600, 60, 61, 70]
+    months = [f"1997-{m:02d}-01" for m in range(1, len(sales) + 1)]
+    shop = changed(
+        star,
+        orders=[order(i, m) for i, m in enumerate(months)],
+        order_details=[line(i, 1, s) for i, s in enumerate(sales)],
+    )
+    got = [(r.direction, r.month.month, r.place) for r in analyses.growth_table(shop).collect()]
+    want = [("up", 2, 1), ("up", 4, 2), ("up", 7, 3), ("up", 11, 4), ("up", 8, 5)]
+    assert sorted(got) == sorted(want + [("down", 9, 1), ("down", 3, 2), ("down", 6, 3)])
 
 
 def test_segment_threshold_is_the_mean_over_orders(star):

