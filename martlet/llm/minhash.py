@@ -16,10 +16,12 @@ band are candidates: each with the least node of its bucket, at first. The
 agreement of the signatures prunes candidates (``MATCHES`` of k are reached by all
 but a hundred-thousandth of the pairs at 0.8), and the exact similarity decides, for
 the best candidates of each node that still cross two classes: one at first, then
-eight times as many with each round, until no undecided candidate crosses. Then buckets that still hold more than one class are searched for pairs
-between classes, in blocks of ``BLOCK`` nodes a side, and these are decided in the
-same way. Two linked texts in one bucket thus end in one class, while copies, and
-pairs already in one class, cost nothing.
+eight times as many with each round, until no undecided candidate crosses. Then
+buckets that still hold more than one class are compared exactly, in blocks with a
+bounded number of texts and units of weight a side. A block returns only as many
+links as tie its texts together, at most two for each text, however many pairs it
+holds. Two linked texts in one bucket thus end in one class, while copies, and
+buckets that are one class already, cost nothing.
 
 Defined cases: texts of fewer than five words have one shingle, all their words; null
 texts and texts without words are alone; a null doc_id gets a null class and links
@@ -46,7 +48,9 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 5
 K = BANDS * ROWS
 MATCHES = 48
-BLOCK = 2048
+#: Texts, and units of weight, on one side of a block.
+BLOCK, BLOCK_UNITS = 2048, 200_000
+FEW = 32
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -166,6 +170,7 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch(
                 {
                     "node": part.column("node"),
+                    "size": pa.array(np.diff(cuts), pa.int64()),
                     "units": pa.array([own[cuts[i] : cuts[i + 1]].tobytes() for i in range(len(part))], pa.binary()),
                 }
             )
@@ -194,21 +199,69 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"a": batch.column("a"), "b": batch.column("b"), "linked": pa.array(ok, pa.bool_())})
 
 
+def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many units each text of ``left`` has in common with each of ``right``."""
+    of_left, of_right = (np.repeat(np.arange(len(x)), [len(u) for u in x]) for x in (left, right))
+    own, other = np.concatenate(left), np.concatenate(right)
+    order = np.argsort(other, kind="stable")
+    other, of_right = other[order], of_right[order]
+    low = np.searchsorted(other, own, "left")
+    many = np.searchsorted(other, own, "right") - low
+
+    # Units of few texts are joined, those of many counted by a product of matrices.
+    few = np.flatnonzero((many > 0) & (many <= FEW))
+    nth = np.arange(many[few].sum()) - np.repeat(np.cumsum(many[few]) - many[few], many[few])
+    cell = np.repeat(of_left[few], many[few]) * len(right) + of_right[np.repeat(low[few], many[few]) + nth]
+    out = np.bincount(cell, minlength=len(left) * len(right)).reshape(len(left), len(right)).astype(np.float32)
+
+    common = np.unique(own[many > FEW])
+    for at in range(0, len(common), BLOCK):
+        names = common[at : at + BLOCK]
+        sides = []
+        for units, text, n in ((own, of_left, len(left)), (other, of_right, len(right))):
+            column = np.minimum(np.searchsorted(names, units), len(names) - 1)
+            hit = names[column] == units
+            side = np.zeros((n, len(names)), np.float32)
+            side[text[hit], column[hit]] = 1
+            sides.append(side)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def _forest(linked: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Links of ``linked`` that tie together what all its links do, at most one for each row or column."""
+    fresh = np.ones(sum(linked.shape), bool)
+    rows = linked.shape[0]
+    for start in range(rows):
+        if not fresh[start]:
+            continue
+        fresh[start] = False
+        reached = [start]
+        while reached:
+            x = reached.pop()
+            if x < rows:
+                found = np.flatnonzero(linked[x] & fresh[rows:]) + rows
+            else:
+                found = np.flatnonzero(linked[:, x - rows] & fresh[:rows])
+            fresh[found] = False
+            reached.extend(found.tolist())
+            yield from ((x, y) if x < rows else (y, x) for y in found.tolist())
+
+
 def _between(table: pa.Table) -> pa.Table:
-    """Agreeing pairs between classes, across the two sides of a block."""
-    sig = np.stack(_binary(table.column("sig").combine_chunks(), "<u4"))
-    node, root = (table.column(c).to_numpy() for c in ("node", "root"))
-    side, i, j = (table.column(c).to_numpy() for c in ("side", "i", "j"))
-    left = np.flatnonzero(side == i[0])
-    right = np.flatnonzero(side == j[0])
-    out = []
-    for x in left:
-        other = right[(root[right] != root[x]) & ((node[right] > node[x]) | (i[0] != j[0]))]
-        n = (sig[other] == sig[x]).sum(axis=1)
-        hit = other[n >= MATCHES]
-        out.append((np.full(len(hit), node[x]), node[hit], n[n >= MATCHES]))
-    a, b, n = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
-    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "matches": n.astype(np.int32)})
+    """Links between classes, across the two sides of a block: as many as tie its texts together."""
+    node, root, side = (table.column(c).to_numpy() for c in ("node", "root", "side"))
+    units = _binary(table.column("units").combine_chunks(), "<u8")
+    left, right = (np.flatnonzero(side == table.column(c)[0].as_py()) for c in "ij")
+    if not len(left) or not len(right):
+        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    both = _shared([units[x] for x in left], [units[x] for x in right])
+    size = np.array([len(u) for u in units])
+    linked = both >= SIMILARITY * (size[left][:, None] + size[right][None, :] - both) - 1e-9
+    linked &= root[left][:, None] != root[right][None, :]
+    ends = np.array(list(_forest(linked)), np.int64).reshape(-1, 2) - [0, len(left)]
+    a, b = node[left[ends[:, 0]]], node[right[ends[:, 1]]]
+    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 
 def _pairs(pairs: DataFrame, nodes: DataFrame, value: str) -> DataFrame:
@@ -253,6 +306,14 @@ class _Search:
                 self.roots = components(self.decided.where("linked"))
             most *= 8
 
+    def link(self, found: DataFrame) -> None:
+        """Add links that are decided already."""
+        if not found.isEmpty():
+            links = found.select("a", "b")
+            if self.decided is not None:
+                links = links.union(self.decided.where("linked").select("a", "b"))
+            self.roots = components(links)
+
 
 def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, class_id (least doc_id of its class), kept (doc_id = class_id), for each row of ``docs``."""
@@ -279,23 +340,25 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
     wide = buckets.where("n > 2 and a <> b").select(F.col("b").alias("_id"))
     used = among.union(wide).distinct()
     chosen = texts.join(used, F.col("doc_id") == F.col("_id"), "left_semi").withColumnRenamed("doc_id", "node")
-    search = _Search(saved(chosen.mapInArrow(_elements, "node long, units binary"), "elements"))
+    search = _Search(saved(chosen.mapInArrow(_elements, "node long, size long, units binary"), "elements"))
     search.settle(candidates)
 
     # What is left: buckets of three and more whose members, beside the first, are of several classes.
     rest = _with_root(buckets.where("n > 2 and a <> b").select("bucket", F.col("b").alias("node")), search.roots, "node", "root")
+    sizes = search.elements.select(F.col("node").alias("_n"), "size")
+    rest = rest.join(sizes, F.col("node") == F.col("_n")).select("bucket", "node", "root", "size")
     several = rest.groupBy("bucket").agg(
-        F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")
+        F.count("*").alias("n"), F.sum("size").alias("units"), F.min("root").alias("low"), F.max("root").alias("high")
     ).where("low <> high")
-    several = several.select(F.col("bucket").alias("_bucket"), F.ceil(F.col("n") / BLOCK).cast("int").alias("sides"))
+    sides = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("units") / BLOCK_UNITS)).cast("int")
+    several = several.select(F.col("bucket").alias("_bucket"), sides.alias("sides"))
     rest = rest.join(several, F.col("bucket") == F.col("_bucket")).withColumn("side", F.pmod(F.hash("node"), F.col("sides")))
     rest = rest.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
     rest = rest.withColumns({"i": F.least("side", "_other"), "j": F.greatest("side", "_other")})
-    rest = rest.join(sign.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n")).select(
-        "bucket", "node", "root", "side", "i", "j", "sig"
-    )
-    between = rest.groupBy("bucket", "i", "j").applyInArrow(_between, "a long, b long, matches int")
-    search.settle(saved(between.distinct(), "between"))
+    units = search.elements.select(F.col("node").alias("_n"), "units")
+    rest = rest.join(units, F.col("node") == F.col("_n")).select("bucket", "node", "root", "side", "i", "j", "units")
+    between = rest.groupBy("bucket", "i", "j").applyInArrow(_between, "a long, b long")
+    search.link(saved(between.distinct(), "between"))
 
     own = nodes.select("h", "g", "node").withColumnsRenamed({"h": "_h", "g": "_g"})
     rows = signed.select("doc_id", "h", "g").join(own, (F.col("h") == F.col("_h")) & (F.col("g") == F.col("_g")), "left")

@@ -135,13 +135,36 @@ def test_signatures_estimate_similarity():
 def test_candidates_of_a_bucket_across_blocks(spark):
     import pyarrow as pa
 
-    sig = np.tile(np.arange(minhash.K, dtype="<u4"), (4, 1))
-    sig[3] += 1
+    units = np.tile(np.arange(80, dtype="<u8"), (4, 1))
+    units[3] += 1000
     rows = {"node": [1, 2, 3, 4], "root": [1, 1, 3, 4], "side": [0, 1, 1, 0], "i": [0] * 4, "j": [1] * 4}
-    made = minhash._between(pa.table(rows | {"sig": [s.tobytes() for s in sig]}))
+    made = minhash._between(pa.table(rows | {"units": [u.tobytes() for u in units]}))
     same(zip(*made.select(["a", "b"]).to_pydict().values(), strict=True), [(1, 3)])
 
 
+def test_shared_units_of_a_block(monkeypatch):
+    draw = np.random.default_rng(1)
+    for few, block in ((3, 7), (32, 2048)):
+        monkeypatch.setattr(minhash, "FEW", few)
+        monkeypatch.setattr(minhash, "BLOCK", block)
+        sides = [[np.unique(draw.integers(0, 60, draw.integers(1, 40)).astype("<u8")) for _ in range(n)] for n in (50, 33)]
+        want = [[len(np.intersect1d(x, y)) for y in sides[1]] for x in sides[0]]
+        assert minhash._shared(*sides).tolist() == want
+
+
+def test_a_group_whose_texts_are_far_from_its_first(spark, monkeypatch):
+    """Versions drift from the first one: neighbours are linked, and most pairs are not."""
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    draw, rows = random.Random(8), []
+    for g in range(3):
+        words = [f"w{draw.randrange(400)}" for _ in range(120)]
+        for i in range(40):
+            rows.append((100 * g + i, " ".join(words)))
+            words[draw.randrange(len(words))] = f"new{g}x{i}"
+    draw.shuffle(rows)
+    same(minhash.near_duplicates(docs(spark, rows)).collect(), classes(rows))
+
+
 ITEM = "If Tom has 12 apples and Mary gives him 5 more apples then how many apples does Tom have at the end of 3 days"
 
 
