@@ -6,13 +6,17 @@ underscores (a point or comma between digits belongs to the number). A number st
 with a digit; a unit is one of ``UNITS`` after a number; a name is a word with a
 capital first letter only that no sentence end (``.!?:`` or a line end) comes before.
 
-Template windows of ``WINDOW`` tokens with ``LITERALS`` plain words at least are
-joined on their hash. Hits of one text and item on one alignment count together, and
-the values in their placeholders must correspond one to one: a question asked again
-with other numbers or names is caught, an unrelated text of the same shape is not.
-A text is contaminated if the hits on one alignment span ``SPAN`` tokens of the item,
-or the whole item if it is shorter. Items of fewer than ``WINDOW`` tokens are matched
-by one window of their own length if they have ``LITERALS`` plain words.
+All windows of ``WINDOW`` tokens are joined on a hash. With ``LITERALS`` plain words at
+least it is that of the template; with fewer, units are spelled out; if plain words and
+units are fewer still, all words are, so that such a window is found as it stands. Hits
+of one text and item on one alignment count together, and the values in their
+placeholders must correspond one to one: a question asked again with other numbers or
+names is caught, an unrelated text of the same shape is not. A text is contaminated if
+the hits on one alignment span ``SPAN`` tokens of the item, or the whole item if it is
+shorter. Stretches of that length that hold windows dense in placeholders are joined as
+a whole too if they have ``LITERALS`` plain words or units, so that dense questions are
+caught with other values; with fewer, an item is caught only as it stands. Items of
+fewer than ``WINDOW`` tokens are matched by one window of their own length.
 
 Tasks that read texts get the hashes of the benchmark's windows and send on only
 hits. Hashes are sent in slices of ``SLICE`` windows, one pass over the texts for
@@ -27,10 +31,11 @@ empty result; further columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from martlet.llm.common import mix, pick, place
@@ -74,8 +79,18 @@ def member(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
     return sorted_[np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)] == x
 
 
-def template(data: np.ndarray, at: np.ndarray, units: np.ndarray) -> tuple[Words, np.ndarray, np.ndarray]:
-    """Template tokens of many texts, the plain code of each token, and which are placeholders."""
+@dataclass
+class Template:
+    """Tokens of many texts: template codes, codes with units spelled out, plain codes, and which are placeholders."""
+
+    words: Words
+    spelled: np.ndarray
+    plain: np.ndarray
+    slot: np.ndarray
+    unit: np.ndarray
+
+
+def template(data: np.ndarray, at: np.ndarray, units: np.ndarray) -> Template:
     n = len(data)
     inside, digit = _WORD[data], _DIGIT[data]
     if n > 2:
@@ -100,17 +115,30 @@ def template(data: np.ndarray, at: np.ndarray, units: np.ndarray) -> tuple[Words
     second = _UPPER[data[np.minimum(start + 1, max(n - 1, 0))]] if n else np.zeros(0, bool)
     accent = (data[start] == 0xC3) & (data[np.minimum(start + 1, max(n - 1, 0))] < 0x9F) if n else second
     name = (_UPPER[data[start]] | accent) & ~(second & (end - start > 1)) & ~after_stop & ~number & ~unit
-    code = np.where(number, np.uint64(101), np.where(unit, np.uint64(102), np.where(name, np.uint64(103), plain)))
-    return Words(mix(code, 6), first, start, end), plain, number | unit | name
+    spelled = np.where(number, np.uint64(101), np.where(name, np.uint64(103), plain))
+    code = np.where(unit, np.uint64(102), spelled)
+    return Template(Words(mix(code, 6), first, start, end), mix(spelled, 6), plain, number | unit | name, unit)
+
 
+def windows(t: Template, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where windows of ``size`` tokens start, their hashes, and whether these are of the whole template.
 
-def windows(w: Words, slot: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where windows of ``size`` tokens start that have enough plain words, and their hashes."""
-    n = len(w.code)
+    Windows longer than ``WINDOW`` are left out if they have too few plain words and units.
+    """
+    w, n = t.words, len(t.plain)
     at = np.flatnonzero(np.arange(n) + size <= np.repeat(w.first[1:], np.diff(w.first)))
-    slots = np.concatenate(([0], np.cumsum(slot)))
-    at = at[size - (slots[at + size] - slots[at]) >= LITERALS]
-    return at, mix(Sums.of(w.code).stretch(at, at + size), size)
+    slots, units = (np.concatenate(([0], np.cumsum(x))) for x in (t.slot, t.unit))
+    literals = size - (slots[at + size] - slots[at])
+    fixed = literals + units[at + size] - units[at]
+    if size > WINDOW:
+        at, literals, fixed = (x[fixed >= LITERALS] for x in (at, literals, fixed))
+    h = np.zeros(len(at), np.uint64)
+    level = np.where(literals >= LITERALS, 0, np.where(fixed >= LITERALS, 1, 2))
+    for k, codes in enumerate((w.code, t.spelled, t.plain)):
+        begin = at[level == k]
+        if len(begin):
+            h[level == k] = mix(Sums.of(codes).stretch(begin, begin + size), size + 32 * k)
+    return at, h, level == 0
 
 
 def _slots(plain: np.ndarray, slot: np.ndarray, at: np.ndarray, size: int) -> pa.Array:
@@ -124,7 +152,8 @@ def _slots(plain: np.ndarray, slot: np.ndarray, at: np.ndarray, size: int) -> pa
 _ROW = "id long, size int, pos int, h long, slots array<long>"
 
 
-def _rows(part: pa.RecordBatch, w: Words, plain, slot, size: int, at, h, **more) -> pa.RecordBatch:
+def _rows(part: pa.RecordBatch, t: Template, size: int, at, h, **more) -> pa.RecordBatch:
+    w = t.words
     text = np.searchsorted(w.first, at, "right") - 1
     return pa.record_batch(
         {
@@ -132,8 +161,8 @@ def _rows(part: pa.RecordBatch, w: Words, plain, slot, size: int, at, h, **more)
             "size": pa.array(np.full(len(at), size, np.int32)),
             "pos": pa.array((at - w.first[text]).astype(np.int32)),
             "h": pa.array(h.view(np.int64)),
-            "slots": _slots(plain, slot, at, size),
-            **{k: pa.array(v[text]) for k, v in more.items()},
+            "slots": _slots(t.plain, t.slot, at, size),
+            **{k: pa.array(v) for k, v in more.items()},
         }
     )
 
@@ -142,14 +171,22 @@ def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     units = _unit_codes()
     for batch in batches:
         for part, data, at in chunks(batch, "text"):
-            w, plain, slot = template(data, at, units)
-            length = np.diff(w.first).astype(np.int32)
-            for size in range(LITERALS, WINDOW + 1):
-                begin, h = windows(w, slot, size)
-                if size < WINDOW:
-                    own = length[np.searchsorted(w.first, begin, "right") - 1] == size
-                    begin, h = begin[own], h[own]
-                yield _rows(part, w, plain, slot, size, begin, h, length=length)
+            t = template(data, at, units)
+            first = t.words.first
+            length = np.diff(first).astype(np.int32)
+            for size in range(1, SPAN + 1):
+                begin, h, open_ = windows(t, size)
+                own = length[np.searchsorted(first, begin, "right") - 1]
+                if size == WINDOW:
+                    dense = np.zeros(len(t.plain) + 1, np.int64)
+                    dense[begin[~open_] + 1] = 1
+                    dense = np.cumsum(dense)
+                    keep = own >= size
+                elif size < WINDOW:
+                    keep = own == size
+                else:
+                    keep = (np.minimum(own, SPAN) == size) & (dense[begin + size - WINDOW + 1] > dense[begin])
+                yield _rows(part, t, size, begin[keep], h[keep], length=own[keep], open=open_[keep] & (size <= WINDOW))
 
 
 def _hit_rows(wanted: dict[int, np.ndarray]):
@@ -162,13 +199,13 @@ def _hit_rows(wanted: dict[int, np.ndarray]):
         units = _unit_codes()
         for batch in batches:
             for part, data, at in chunks(batch, "text"):
-                w, plain, slot = template(data, at, units)
+                t = template(data, at, units)
                 for size, hashes in wanted.items():
-                    begin, h = windows(w, slot, size)
+                    begin, h, _ = windows(t, size)
                     maybe = masks[size][h & np.uint64((1 << 20) - 1)]
                     begin, h = begin[maybe], h[maybe]
                     hit = member(hashes, h)
-                    yield _rows(part, w, plain, slot, size, begin[hit], h[hit])
+                    yield _rows(part, t, size, begin[hit], h[hit])
 
     return run
 
@@ -185,7 +222,7 @@ def find_leaks(
     """doc_id, item_id, n_tokens (spanned), n_slots: one row for each text and item found in it."""
     texts = pick(docs, id=(id_column, "bigint"), text=(text_column, "string"))
     bench = pick(items, id=(item_column, "bigint"), text=(item_text, "string"))
-    table = bench.mapInArrow(_item_rows, _ROW + ", length int")
+    table = bench.mapInArrow(_item_rows, _ROW + ", length int, open boolean")
     table = table.withColumnsRenamed({"id": "item_id", "pos": "item_pos", "slots": "item_slots"}).drop("slots")
     slices = max(1, -(-table.count() // SLICE))
     hits = None
@@ -196,20 +233,38 @@ def find_leaks(
         found = texts.mapInArrow(_hit_rows(wanted), _ROW)
         hits = found if hits is None else hits.union(found)
     joined = hits.join(table, ["size", "h"]).withColumn("shift", F.col("pos") - F.col("item_pos"))
-    aligned = joined.groupBy("id", "item_id", "size", "shift").agg(
-        (F.countDistinct("item_pos") + F.col("size") - 1).alias("n_tokens"),
+    both = F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b"))
+    at = F.struct("size", "item_pos")
+    aligned = joined.groupBy("id", "item_id", "shift").agg(
         F.max("length").alias("length"),
-        F.array_distinct(
-            F.flatten(F.collect_list(F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b"))))
-        ).alias("pairs"),
+        *(
+            column
+            for label, rows in (("open", F.col("open")), ("all", F.lit(True)))
+            for column in (
+                F.collect_set(F.when(rows, at)).alias(f"{label}_at"),
+                F.array_distinct(F.flatten(F.collect_list(F.when(rows, both)))).alias(f"{label}_pairs"),
+            )
+        ),
     )
-    one_to_one = (F.size(F.array_distinct("pairs.a")) == F.size("pairs")) & (
-        F.size(F.array_distinct("pairs.b")) == F.size("pairs")
-    )
-    leaks = aligned.where(one_to_one & (F.col("n_tokens") >= F.least("length", F.lit(SPAN))))
+    # Dense windows can complete an alignment, but not refute one that the others make up alone.
+    found = [_judged(aligned, label) for label in ("open", "all")]
+    leaks = aligned.select("id", "item_id", F.explode(F.array(*found)).alias("found")).where("found is not null")
     return leaks.groupBy(F.col("id").alias("doc_id"), "item_id").agg(
-        F.max("n_tokens").cast("int").alias("n_tokens"), F.max(F.size("pairs")).alias("n_slots")
+        F.max("found.n_tokens").cast("int").alias("n_tokens"), F.max("found.n_slots").alias("n_slots")
+    )
+
+
+def _judged(aligned: DataFrame, label: str) -> Column:
+    """Tokens spanned and slots, null if the hits are too few or their slots conflict."""
+    at, pairs = F.col(f"{label}_at"), F.col(f"{label}_pairs")
+    short, long = (F.filter(at, lambda x: x["size"] <= WINDOW), F.filter(at, lambda x: x["size"] > WINDOW))
+    spans = [F.when(F.size(x) > 0, F.size(x) + x[0]["size"] - 1).otherwise(0) for x in (short, long)]
+    n_tokens = F.greatest(*spans)
+    one_to_one = (F.size(F.array_distinct(pairs["a"])) == F.size(pairs)) & (
+        F.size(F.array_distinct(pairs["b"])) == F.size(pairs)
     )
+    enough = n_tokens >= F.least("length", F.lit(SPAN))
+    return F.when(one_to_one & enough, F.struct(n_tokens.alias("n_tokens"), F.size(pairs).alias("n_slots")))
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -187,6 +187,30 @@ def test_asked_again_with_other_values(spark):
     assert kept.columns == docs(spark, rows).columns
 
 
+DENSE = [
+    "Car travels 60 km in 2 hours how far",
+    "a car travels 60 km in 2 hours how far is it",
+    "so 3 4 Tom 5 Bob 6 Ann 7 kg 8 cm we see that Tom and 3 m are 9 in all of them",
+    "mix 3 4 5",
+    "so 3 4 Tom 5 Bob 6 Ann 7",
+]
+
+
+def found_pairs(spark, texts, items):
+    """Items found in each text: (text, item), by place."""
+    bench = frame(spark, list(enumerate(items)), "item_id long, text string")
+    return [tuple(r)[:2] for r in decontaminate.find_leaks(docs(spark, list(enumerate(texts))), bench).collect()]
+
+
+def test_items_dense_in_placeholders(spark):
+    copies = [f"we say: {t} or so" for t in DENSE]
+    same(found_pairs(spark, copies, DENSE), [(0, 0), (1, 0), (1, 1), (2, 2), (2, 4), (3, 3), (4, 4)])
+    again = [f"we say: {t.replace('60', '70').replace('2 ', '3 ')} or so" for t in DENSE[:2]]
+    again.append(copies[2].replace("Bob", "Eve").replace(" 3 ", " 33 "))
+    again += ["mix 3 4 6", "so 3 4 Tom 5 Bob 6 Ann 8"]
+    same(found_pairs(spark, again, DENSE), [(0, 0), (1, 0), (1, 1), (2, 2)])
+
+
 def test_leaks_of_a_table(spark):
     texts = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
     items = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").collect()
