@@ -4,13 +4,15 @@ Texts and benchmark items become templates: numbers, names and units turn into t
 placeholders, other words into lower case. A token is a run of letters, digits and
 underscores (a point or comma between digits belongs to the number). A number starts
 with a digit; a unit is one of ``UNITS`` after a number; a name is a word with a
-capital first letter only that no sentence end (``.!?:`` or a line end) comes before.
+capital first letter only. After a sentence end (``.!?:`` or a line end) and at the
+beginning such a word is read in two ways, as a plain word and as a name, so that an
+item is found whatever it was pasted after.
 
 All windows of ``WINDOW`` tokens are joined on a hash. With ``LITERALS`` plain words at
 least it is that of the template; with fewer, units are spelled out; if plain words and
 units are fewer still, all words are, so that such a window is found as it stands. Hits
-of one text and item on one alignment count together, and the values in their
-placeholders must correspond one to one: a question asked again with other numbers or
+of one text and item on one alignment and in one way of reading either count together,
+and the values in their placeholders must correspond one to one: a question asked again with other numbers or
 names is caught, an unrelated text of the same shape is not. A text is contaminated if
 the hits on one alignment span ``SPAN`` tokens of the item, or the whole item if it is
 shorter. Stretches of that length that hold windows dense in placeholders are joined as
@@ -32,6 +34,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -89,8 +92,13 @@ class Template:
     slot: np.ndarray
     unit: np.ndarray
 
+    @cached_property
+    def sums(self) -> tuple[Sums, Sums, Sums]:
+        return Sums.of(self.words.code), Sums.of(self.spelled), Sums.of(self.plain)
 
-def template(data: np.ndarray, at: np.ndarray, units: np.ndarray) -> Template:
+
+def template(data: np.ndarray, at: np.ndarray, units: np.ndarray) -> tuple[Template, Template]:
+    """Both ways of reading: capitalised words after a stop are plain words, or names."""
     n = len(data)
     inside, digit = _WORD[data], _DIGIT[data]
     if n > 2:
@@ -114,19 +122,24 @@ def template(data: np.ndarray, at: np.ndarray, units: np.ndarray) -> Template:
     unit[1:] = number[:-1] & ~head[1:] & member(units, plain[1:])
     second = _UPPER[data[np.minimum(start + 1, max(n - 1, 0))]] if n else np.zeros(0, bool)
     accent = (data[start] == 0xC3) & (data[np.minimum(start + 1, max(n - 1, 0))] < 0x9F) if n else second
-    name = (_UPPER[data[start]] | accent) & ~(second & (end - start > 1)) & ~after_stop & ~number & ~unit
-    spelled = np.where(number, np.uint64(101), np.where(name, np.uint64(103), plain))
-    code = np.where(unit, np.uint64(102), spelled)
-    return Template(Words(mix(code, 6), first, start, end), mix(spelled, 6), plain, number | unit | name, unit)
+    capital = (_UPPER[data[start]] | accent) & ~(second & (end - start > 1)) & ~number & ~unit
+
+    def read(name: np.ndarray) -> Template:
+        spelled = np.where(number, np.uint64(101), np.where(name, np.uint64(103), plain))
+        code = np.where(unit, np.uint64(102), spelled)
+        return Template(Words(mix(code, 6), first, start, end), mix(spelled, 6), plain, number | unit | name, unit)
+
+    return read(capital & ~after_stop), read(capital)
 
 
-def windows(t: Template, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(t: Template, size: int, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Where windows of ``size`` tokens start, their hashes, and whether these are of the whole template.
 
     Windows longer than ``WINDOW`` are left out if they have too few plain words and units.
     """
     w, n = t.words, len(t.plain)
-    at = np.flatnonzero(np.arange(n) + size <= np.repeat(w.first[1:], np.diff(w.first)))
+    fits = np.arange(n) + size <= np.repeat(w.first[1:], np.diff(w.first))
+    at = np.flatnonzero(fits if wanted is None else fits & wanted)
     slots, units = (np.concatenate(([0], np.cumsum(x))) for x in (t.slot, t.unit))
     literals = size - (slots[at + size] - slots[at])
     fixed = literals + units[at + size] - units[at]
@@ -134,10 +147,9 @@ def windows(t: Template, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         at, literals, fixed = (x[fixed >= LITERALS] for x in (at, literals, fixed))
     h = np.zeros(len(at), np.uint64)
     level = np.where(literals >= LITERALS, 0, np.where(fixed >= LITERALS, 1, 2))
-    for k, codes in enumerate((w.code, t.spelled, t.plain)):
+    for k, sums in enumerate(t.sums if len(at) else ()):
         begin = at[level == k]
-        if len(begin):
-            h[level == k] = mix(Sums.of(codes).stretch(begin, begin + size), size + 32 * k)
+        h[level == k] = mix(sums.stretch(begin, begin + size), size + 32 * k)
     return at, h, level == 0
 
 
@@ -149,14 +161,26 @@ def _slots(plain: np.ndarray, slot: np.ndarray, at: np.ndarray, size: int) -> pa
     return pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(plain[cells[used]].view(np.int64)))
 
 
-_ROW = "id long, size int, pos int, h long, slots array<long>"
+def read_windows(
+    readings: tuple[Template, Template], size: int
+) -> Iterator[tuple[Template, list[int], np.ndarray, np.ndarray, np.ndarray]]:
+    """Windows in each way of reading; those that both read alike come once, as of both."""
+    named = np.concatenate(([0], np.cumsum(readings[0].slot != readings[1].slot)))
+    alike = named[np.minimum(np.arange(len(named) - 1) + size, len(named) - 1)] == named[:-1]
+    for k, t in enumerate(readings):
+        yield t, [k], *windows(t, size, ~alike)
+    yield t, [0, 1], *windows(t, size, alike)
+
+
+_ROW = "readings array<int>, id long, size int, pos int, h long, slots array<long>"
 
 
-def _rows(part: pa.RecordBatch, t: Template, size: int, at, h, **more) -> pa.RecordBatch:
+def _rows(part: pa.RecordBatch, t: Template, readings: list[int], size: int, at, h, **more) -> pa.RecordBatch:
     w = t.words
     text = np.searchsorted(w.first, at, "right") - 1
     return pa.record_batch(
         {
+            "readings": pa.array([readings] * len(at), pa.list_(pa.int32())),
             "id": part.column("id").take(pa.array(text)),
             "size": pa.array(np.full(len(at), size, np.int32)),
             "pos": pa.array((at - w.first[text]).astype(np.int32)),
@@ -171,22 +195,24 @@ def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     units = _unit_codes()
     for batch in batches:
         for part, data, at in chunks(batch, "text"):
-            t = template(data, at, units)
-            first = t.words.first
+            both = template(data, at, units)
+            first = both[0].words.first
             length = np.diff(first).astype(np.int32)
+            dense = []
+            for t in both:
+                begin, _, open_ = windows(t, WINDOW)
+                dense.append(np.zeros(len(t.plain) + 1, np.int64))
+                dense[-1][begin[~open_] + 1] = 1
+                dense[-1] = np.cumsum(dense[-1])
             for size in range(1, SPAN + 1):
-                begin, h, open_ = windows(t, size)
-                own = length[np.searchsorted(first, begin, "right") - 1]
-                if size == WINDOW:
-                    dense = np.zeros(len(t.plain) + 1, np.int64)
-                    dense[begin[~open_] + 1] = 1
-                    dense = np.cumsum(dense)
-                    keep = own >= size
-                elif size < WINDOW:
-                    keep = own == size
-                else:
-                    keep = (np.minimum(own, SPAN) == size) & (dense[begin + size - WINDOW + 1] > dense[begin])
-                yield _rows(part, t, size, begin[keep], h[keep], length=own[keep], open=open_[keep] & (size <= WINDOW))
+                for t, readings, begin, h, open_ in read_windows(both, size):
+                    own = length[np.searchsorted(first, begin, "right") - 1]
+                    keep = own >= size if size == WINDOW else np.minimum(own, SPAN) == size
+                    if size > WINDOW:
+                        last = begin + size - WINDOW + 1
+                        keep &= dense[readings[0]][last] > dense[readings[0]][begin]
+                    more = {"length": own[keep], "open": open_[keep] & (size <= WINDOW)}
+                    yield _rows(part, t, readings, size, begin[keep], h[keep], **more)
 
 
 def _hit_rows(wanted: dict[int, np.ndarray]):
@@ -199,13 +225,13 @@ def _hit_rows(wanted: dict[int, np.ndarray]):
         units = _unit_codes()
         for batch in batches:
             for part, data, at in chunks(batch, "text"):
-                t = template(data, at, units)
+                both = template(data, at, units)
                 for size, hashes in wanted.items():
-                    begin, h, _ = windows(t, size)
-                    maybe = masks[size][h & np.uint64((1 << 20) - 1)]
-                    begin, h = begin[maybe], h[maybe]
-                    hit = member(hashes, h)
-                    yield _rows(part, t, size, begin[hit], h[hit])
+                    for t, readings, begin, h, _ in read_windows(both, size):
+                        maybe = masks[size][h & np.uint64((1 << 20) - 1)]
+                        begin, h = begin[maybe], h[maybe]
+                        hit = member(hashes, h)
+                        yield _rows(part, t, readings, size, begin[hit], h[hit])
 
     return run
 
@@ -223,7 +249,7 @@ def find_leaks(
     texts = pick(docs, id=(id_column, "bigint"), text=(text_column, "string"))
     bench = pick(items, id=(item_column, "bigint"), text=(item_text, "string"))
     table = bench.mapInArrow(_item_rows, _ROW + ", length int, open boolean")
-    table = table.withColumnsRenamed({"id": "item_id", "pos": "item_pos", "slots": "item_slots"}).drop("slots")
+    table = table.withColumnsRenamed({"id": "item_id", "pos": "item_pos", "slots": "item_slots", "readings": "item_readings"})
     slices = max(1, -(-table.count() // SLICE))
     hits = None
     for k in range(slices):
@@ -233,9 +259,10 @@ def find_leaks(
         found = texts.mapInArrow(_hit_rows(wanted), _ROW)
         hits = found if hits is None else hits.union(found)
     joined = hits.join(table, ["size", "h"]).withColumn("shift", F.col("pos") - F.col("item_pos"))
+    joined = joined.withColumn("reading", F.explode("readings")).withColumn("item_reading", F.explode("item_readings"))
     both = F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b"))
     at = F.struct("size", "item_pos")
-    aligned = joined.groupBy("id", "item_id", "shift").agg(
+    aligned = joined.groupBy("id", "item_id", "shift", "reading", "item_reading").agg(
         F.max("length").alias("length"),
         *(
             column

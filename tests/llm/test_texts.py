@@ -211,6 +211,16 @@ def test_items_dense_in_placeholders(spark):
     same(found_pairs(spark, again, DENSE), [(0, 0), (1, 0), (1, 1), (2, 2)])
 
 
+NAMED = ["Ly was st and of the", "Tom went by boat with the other men here today", "What is it that Ann took from the old house"]
+
+
+def test_first_words_in_running_text(spark):
+    inside = [f"he said {NAMED[0]}", f"when {NAMED[1]} it", f"so, {NAMED[2]}", NAMED[2].lower().replace("ann", "Ann")]
+    same(found_pairs(spark, inside, NAMED), [(0, 0), (1, 1), (2, 2), (3, 2)])
+    again = [NAMED[0].replace("Ly", "Jo"), "Yes. " + NAMED[1].replace("Tom", "Bob"), "and " + NAMED[1].replace("Tom", "Bob")]
+    same(found_pairs(spark, again, NAMED), [(0, 0), (1, 1), (2, 1)])
+
+
 def test_leaks_of_a_table(spark):
     texts = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
     items = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").collect()
