@@ -12,8 +12,9 @@ All windows of ``WINDOW`` tokens are joined on a hash. With ``LITERALS`` plain w
 least it is that of the template; with fewer, units are spelled out; if plain words and
 units are fewer still, all words are, so that such a window is found as it stands. Hits
 of one text and item on one alignment and in one way of reading either count together,
-and the values in their placeholders must correspond one to one: a question asked again with other numbers or
-names is caught, an unrelated text of the same shape is not. A text is contaminated if
+and each value in the item's placeholders must stand for one value of the text: a
+question asked again with other numbers or names is caught, two of which may be equal
+now, an unrelated text of the same shape is not. A text is contaminated if
 the hits on one alignment span ``SPAN`` tokens of the item, or the whole item if it is
 shorter. Stretches of that length that hold windows dense in placeholders are joined as
 a whole too if they have ``LITERALS`` plain words or units, so that dense questions are
@@ -287,11 +288,9 @@ def _judged(aligned: DataFrame, label: str) -> Column:
     short, long = (F.filter(at, lambda x: x["size"] <= WINDOW), F.filter(at, lambda x: x["size"] > WINDOW))
     spans = [F.when(F.size(x) > 0, F.size(x) + x[0]["size"] - 1).otherwise(0) for x in (short, long)]
     n_tokens = F.greatest(*spans)
-    one_to_one = (F.size(F.array_distinct(pairs["a"])) == F.size(pairs)) & (
-        F.size(F.array_distinct(pairs["b"])) == F.size(pairs)
-    )
+    one_each = F.size(F.array_distinct(pairs["a"])) == F.size(pairs)
     enough = n_tokens >= F.least("length", F.lit(SPAN))
-    return F.when(one_to_one & enough, F.struct(n_tokens.alias("n_tokens"), F.size(pairs).alias("n_slots")))
+    return F.when(one_each & enough, F.struct(n_tokens.alias("n_tokens"), F.size(pairs).alias("n_slots")))
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -221,6 +221,14 @@ def test_first_words_in_running_text(spark):
     same(found_pairs(spark, again, NAMED), [(0, 0), (1, 1), (2, 1)])
 
 
+def test_two_values_that_are_equal_in_the_copy(spark):
+    item = "If a box holds 3 red balls and 5 blue balls then how many balls are in it"
+    texts = [item.replace("3", "4").replace("5", "4"), item.replace("3", "6")]
+    same(found_pairs(spark, texts, [item]), [(0, 0), (1, 0)])
+    # The other way round one value of the item would stand for two.
+    same(found_pairs(spark, [item], texts[:1]), [])
+
+
 def test_leaks_of_a_table(spark):
     texts = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
     items = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").collect()
