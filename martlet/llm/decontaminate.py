@@ -26,9 +26,9 @@ hits. Hashes are sent in slices of ``SLICE`` windows, one pass over the texts fo
 each slice, so what a task holds does not grow with the benchmark. Everything about
 one text happens in its own task up to the hits, however many texts share an item.
 
-Defined cases: a null text or item has no windows; rows with one doc_id are judged
-together; equal items are each reported; null ids are kept; empty tables give an
-empty result; further columns are not read.
+Defined cases: a null text or item has no windows; each text is judged by itself, also
+where texts share a doc_id or have none, and rows equal in both are one; equal items are
+each reported; empty tables give an empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -173,7 +173,7 @@ def read_windows(
     yield t, [0, 1], *windows(t, size, alike)
 
 
-_ROW = "readings array<int>, id long, size int, pos int, h long, slots array<long>"
+_ROW = "readings array<int>, id long, key long, size int, pos int, h long, slots array<long>"
 
 
 def _rows(part: pa.RecordBatch, t: Template, readings: list[int], size: int, at, h, **more) -> pa.RecordBatch:
@@ -182,7 +182,7 @@ def _rows(part: pa.RecordBatch, t: Template, readings: list[int], size: int, at,
     return pa.record_batch(
         {
             "readings": pa.array([readings] * len(at), pa.list_(pa.int32())),
-            "id": part.column("id").take(pa.array(text)),
+            **{k: part.column(k).take(pa.array(text)) for k in ("id", "key")},
             "size": pa.array(np.full(len(at), size, np.int32)),
             "pos": pa.array((at - w.first[text]).astype(np.int32)),
             "h": pa.array(h.view(np.int64)),
@@ -247,10 +247,18 @@ def find_leaks(
     item_text: str = "text",
 ) -> DataFrame:
     """doc_id, item_id, n_tokens (spanned), n_slots: one row for each text and item found in it."""
-    texts = pick(docs, id=(id_column, "bigint"), text=(text_column, "string"))
-    bench = pick(items, id=(item_column, "bigint"), text=(item_text, "string"))
+    leaks = _leaks(
+        pick(docs, id=(id_column, "bigint"), text=(text_column, "string")),
+        pick(items, id=(item_column, "bigint"), text=(item_text, "string")),
+    )
+    return leaks.select(F.col("id").alias("doc_id"), "item_id", "n_tokens", "n_slots")
+
+
+def _leaks(texts: DataFrame, bench: DataFrame) -> DataFrame:
+    """Leaks by id and key, a hash of the text."""
+    texts, bench = (x.withColumn("key", F.xxhash64("text")) for x in (texts, bench))
     table = bench.mapInArrow(_item_rows, _ROW + ", length int, open boolean")
-    table = table.withColumnsRenamed({"id": "item_id", "pos": "item_pos", "slots": "item_slots", "readings": "item_readings"})
+    table = table.withColumnsRenamed({"id": "item_id", "pos": "item_pos", "slots": "item_slots", "readings": "item_readings"}).drop("key")
     slices = max(1, -(-table.count() // SLICE))
     hits = None
     for k in range(slices):
@@ -263,7 +271,7 @@ def find_leaks(
     joined = joined.withColumn("reading", F.explode("readings")).withColumn("item_reading", F.explode("item_readings"))
     both = F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b"))
     at = F.struct("size", "item_pos")
-    aligned = joined.groupBy("id", "item_id", "shift", "reading", "item_reading").agg(
+    aligned = joined.groupBy("id", "key", "item_id", "shift", "reading", "item_reading").agg(
         F.max("length").alias("length"),
         *(
             column
@@ -276,8 +284,8 @@ def find_leaks(
     )
     # Dense windows can complete an alignment, but not refute one that the others make up alone.
     found = [_judged(aligned, label) for label in ("open", "all")]
-    leaks = aligned.select("id", "item_id", F.explode(F.array(*found)).alias("found")).where("found is not null")
-    return leaks.groupBy(F.col("id").alias("doc_id"), "item_id").agg(
+    leaks = aligned.select("id", "key", "item_id", F.explode(F.array(*found)).alias("found")).where("found is not null")
+    return leaks.groupBy("id", "key", "item_id").agg(
         F.max("found.n_tokens").cast("int").alias("n_tokens"), F.max("found.n_slots").alias("n_slots")
     )
 
@@ -294,10 +302,13 @@ def _judged(aligned: DataFrame, label: str) -> Column:
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, whose doc_id holds no item."""
+    """The rows of ``docs``, all columns, whose text holds no item."""
     names = docs.columns
-    leaks = find_leaks(docs, items).select(F.col("doc_id").alias("_leak")).distinct()
+    bench = pick(items, id=("item_id", "bigint"), text=("text", "string"))
+    leaks = _leaks(pick(docs, id=("doc_id", "bigint"), text=("text", "string")), bench)
+    leaks = leaks.select(F.col("id").alias("_leak"), F.col("key").alias("_key")).distinct()
     plain = docs.toDF(*(f"_{i}" for i in range(len(names))))
     own = F.col(f"_{place(docs, 'doc_id')}").cast("bigint")
-    kept = plain.join(leaks, own.eqNullSafe(F.col("_leak")), "left_anti")
+    key = F.xxhash64(F.col(f"_{place(docs, 'text')}").cast("string"))
+    kept = plain.join(leaks, own.eqNullSafe(F.col("_leak")) & (key == F.col("_key")), "left_anti")
     return kept.select(*(F.col(f"_{i}").alias(n) for i, n in enumerate(names)))

@@ -229,6 +229,16 @@ def test_two_values_that_are_equal_in_the_copy(spark):
     same(found_pairs(spark, [item], texts[:1]), [])
 
 
+def test_texts_that_share_an_id_are_judged_alone(spark):
+    again = ITEM.replace("Tom", "Bob").replace("12", "15")
+    rows = [(None, "a clean text"), (None, ITEM), (None, again), (None, None), (1, "clean too"), (1, ITEM), (1, ITEM)]
+    items = frame(spark, [(7, ITEM)], "item_id long, text string")
+    found = decontaminate.find_leaks(docs(spark, rows), items)
+    same(found.select("doc_id", "item_id").collect(), [(None, 7), (None, 7), (1, 7)])
+    kept = decontaminate.drop_leaks(docs(spark, rows), items)
+    same(kept.select("doc_id", "text").collect(), [rows[0], rows[3], rows[4]])
+
+
 def test_leaks_of_a_table(spark):
     texts = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
     items = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").collect()
