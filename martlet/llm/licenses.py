@@ -3,13 +3,16 @@
 A template and a stretch of text are aligned on words that occur once in both. The
 longest increasing run of such anchors stays, and the gaps between them are aligned
 in the same way; a gap without anchors is aligned by longest common subsequence.
-Coverage is the share of the template's words that are aligned.
+Coverage is the share of the template's words that are aligned. In a place no two
+aligned words are further apart than in the template by more than ``GAP`` words.
 
 A text is first looked at word by word, all texts of a batch at once: positions of
 template words, with no more than ``GAP`` other words between two of them, form
 stretches, and a stretch is aligned with a template only if its words could cover
-``COVERAGE`` of it. That bound is exact for stretches, so what is aligned is a small
-part of the corpus, and whole texts are read whatever their length.
+``COVERAGE`` of it, within no more words than a place can take. That bound is exact, so
+what is aligned is a small part of the corpus, and whole texts are read whatever their
+length. What is left is cut in places by longest chains of template words with no wider
+gap than that, and each place is aligned by itself; the chain stands where it has more.
 
 Words are runs of ASCII letters, digits and bytes beyond ASCII, in lower case.
 
@@ -35,7 +38,7 @@ from martlet.llm.common import mix, pick
 from martlet.llm.words import Sums, _byte_codes, chunks
 
 COVERAGE, GAP = 0.8, 6
-#: Gaps without anchors are aligned word by word up to this many cells; beyond that, halved.
+#: Gaps without anchors are aligned word by word up to this many cells; beyond that, split where nothing is lost.
 CELLS = 1 << 16
 
 #: License texts and notices, as published.
@@ -139,6 +142,22 @@ def _common(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
     return out
 
 
+def _split(a: Sequence, b: Sequence) -> tuple[int, int]:
+    """Where a longest common subsequence of two long sequences passes the middle of the first."""
+    half = len(a) // 2
+    number = {x: k for k, x in enumerate(dict.fromkeys(b))}
+    codes = np.array([number[x] for x in b])
+
+    def scores(part: Sequence, codes: np.ndarray) -> np.ndarray:
+        row = np.zeros(len(codes) + 1, np.int64)
+        for x in part:
+            row[1:] = np.maximum(row[1:], row[:-1] + (codes == number.get(x, -1)))
+            np.maximum.accumulate(row, out=row)
+        return row
+
+    return half, int(np.argmax(scores(a[:half], codes) + scores(a[half:][::-1], codes[::-1])[::-1]))
+
+
 def patience(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
     """Aligned positions of two sequences, increasing in both."""
     out: list[tuple[int, int]] = []
@@ -157,11 +176,11 @@ def patience(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
         where = {x: j for j, x in enumerate(b[b0:b1], b0) if once_b[x] == 1}
         anchors = [(i, where[x]) for i, x in enumerate(a[a0:a1], a0) if once_a[x] == 1 and x in where]
         if not anchors:
-            if (a1 - a0) * (b1 - b0) <= CELLS:
+            if (a1 - a0) * (b1 - b0) <= CELLS or a1 - a0 == 1:
                 out += [(a0 + i, b0 + j) for i, j in _common(a[a0:a1], b[b0:b1])]
             else:
-                half_a, half_b = (a0 + a1) // 2, (b0 + b1) // 2
-                todo += [(a0, half_a, b0, half_b), (half_a, a1, half_b, b1)]
+                i, j = _split(a[a0:a1], b[b0:b1])
+                todo += [(a0, a0 + i, b0, b0 + j), (a0 + i, a1, b0 + j, b1)]
             continue
         run = [anchors[k] for k in _longest_increasing([j for _, j in anchors])]
         i, j = a0, b0
@@ -173,6 +192,59 @@ def patience(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _candidates(template: list[int], own: list[int], position: list[int], need: float) -> list[tuple[int, int]]:
+    """Parts of a stretch outside which no window as wide as a place can be has enough words of the template."""
+    caps, have, total, a = Counter(template), Counter(), 0, 0
+    wide = (len(template) - 1) * (GAP + 1)
+    parts: list[tuple[int, int]] = []
+    for b, x in enumerate(own):
+        have[x] += 1
+        total += have[x] <= caps[x]
+        while position[b] - position[a] > wide:
+            total -= have[own[a]] <= caps[own[a]]
+            have[own[a]] -= 1
+            a += 1
+        if total >= need:
+            if parts and a <= parts[-1][1]:
+                parts[-1] = parts[-1][0], b + 1
+            else:
+                parts.append((a, b + 1))
+    return parts
+
+
+def _chains(template: list[int], own: list[int], position: list[int], need: float) -> list[list[tuple[int, int]]]:
+    """Longest chains of aligned words, no two of which share a word of the text, without a jump of over
+    ``GAP`` words more than in the template; the longest first, then the tightest, then the first."""
+    where: dict[int, list[int]] = {}
+    for i, x in enumerate(template):
+        where.setdefault(x, []).append(i)
+    hit = [j for j, x in enumerate(own) for _ in where.get(x, ())]
+    index = np.array([i for x in own for i in where.get(x, ())], np.int64)
+    at = np.array([position[j] for j in hit], np.int64)
+    shift, n = at - index, len(hit)
+    score, before, begin = np.ones(n, np.int64), np.full(n, -1, np.int64), at.copy()
+    low = np.searchsorted(at, at - len(template) - GAP)
+    high = np.searchsorted(at, at)
+    for q in range(n):
+        a, b = low[q], high[q]
+        fits = np.flatnonzero((index[a:b] < index[q]) & (shift[a:b] >= shift[q] - GAP))
+        if len(fits):
+            p = a + fits[len(fits) - 1 - np.argmax(score[a:b][fits][::-1])]
+            score[q], before[q], begin[q] = score[p] + 1, p, begin[p]
+    ends = np.flatnonzero(score >= need)
+    used: set[int] = set()
+    out = []
+    for q in ends[np.lexsort((at[ends], at[ends] - begin[ends], -score[ends]))].tolist():
+        chain = []
+        while q >= 0 and hit[q] not in used:
+            chain.append((int(index[q]), hit[q]))
+            q = int(before[q])
+        if q < 0:
+            used.update(j for _, j in chain)
+            out.append(chain[::-1])
+    return out
+
+
 class _Scanner:
     def __init__(self, templates: Mapping[str, str], coverage: float):
         self.names = sorted(templates)
@@ -225,7 +297,7 @@ class _Scanner:
             found = best.setdefault((d, int(t)), [0, 0, 0, 0])
             for matched, x, y in self._places(self.lists[t], number[a:b].tolist(), (hit[a:b] - first[d]).tolist()):
                 found[3] += 1
-                if matched > found[0]:
+                if matched > found[0] or matched == found[0] and x < found[1]:
                     found[:3] = [matched, x, y]
         for (d, t), (matched, x, y, places) in best.items():
             if places:
@@ -233,12 +305,20 @@ class _Scanner:
 
     def _places(self, template: list[int], own: list[int], position: list[int]):
         """Places of the template in one stretch; what a place used is cut out before the next."""
-        while len(own) >= self.coverage * len(template):
-            run = self._dense(patience(template, own), position)
-            if len(run) < self.coverage * len(template):
+        need = self.coverage * len(template)
+        while parts := _candidates(template, own, position, need):
+            used: set[int] = set()
+            for a, b in parts:
+                for chain in _chains(template, own[a:b], position[a:b], need):
+                    c, d = a + chain[0][1], a + chain[-1][1] + 1
+                    free = [j for j in range(c, d) if j not in used]
+                    run = self._dense(patience(template, [own[j] for j in free]), [position[j] for j in free])
+                    places = [free[j] for _, j in run] if len(run) >= len(chain) else [a + j for _, j in chain]
+                    if used.isdisjoint(places):
+                        used.update(places)
+                        yield len(places), position[places[0]], position[places[-1]]
+            if not used:
                 return
-            yield len(run), position[run[0][1]], position[run[-1][1]]
-            used = {j for _, j in run}
             keep = [j for j in range(len(own)) if j not in used]
             own, position = [own[j] for j in keep], [position[j] for j in keep]
 

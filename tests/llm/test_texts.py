@@ -373,6 +373,30 @@ def test_licenses(spark):
     assert licenses.scan_licenses(docs(spark, rows), {}).isEmpty()
 
 
+def test_licenses_that_occur_again_in_prose(spark):
+    prose = "this is the work of the people who want to use it and is in the interest of the public to do so "
+    notice = licenses.TEMPLATES["GPL-3.0-notice"]
+    mit, gap = licenses.TEMPLATES["MIT"], " and the of to in " * 30
+    rows = [
+        (1, prose * 3 + notice + " " + prose * 3 + notice + " " + prose * 3),
+        (2, prose * 9 + mit + gap + mit + " " + prose * 9),
+        (3, gap + "released the work under " * 4 + gap + licenses.TEMPLATES["MIT-notice"] + gap + licenses.TEMPLATES["MIT-notice"] + gap),
+        (4, prose * 200),
+    ]
+    got = licenses.scan_licenses(docs(spark, rows)).select("doc_id", "license", "coverage", "places").collect()
+    same(got, [(1, "GPL-3.0-notice", 1.0, 2), (2, "MIT", 1.0, 2), (3, "MIT-notice", 1.0, 2)])
+
+
+def test_long_gaps_lose_nothing(monkeypatch):
+    draw = random.Random(3)
+    for _ in range(100):
+        a, b = ([draw.randrange(4) for _ in range(draw.randrange(30))] for _ in "ab")
+        whole = len(licenses._common(a, b))
+        if a and b:
+            i, j = licenses._split(a, b)
+            assert len(licenses._common(a[:i], b[:j])) + len(licenses._common(a[i:], b[j:])) == whole
+
+
 def test_patience_aligns_what_is_common():
     draw = random.Random(2)
     for _ in range(200):
