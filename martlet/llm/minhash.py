@@ -27,7 +27,8 @@ Defined cases: texts of fewer than five words have one shingle, all their words;
 texts and texts without words are alone; a null doc_id gets a null class and links
 nothing; rows with one doc_id are one document; repeated rows fall in one class; an
 empty table gives an empty result; further columns are not read, and ``keep_one``
-keeps them.
+keeps them. There each text of a doc_id is a document of its own, so that none goes
+without a copy that stays.
 """
 
 from __future__ import annotations
@@ -368,11 +369,16 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, of one document of each class; null ids all stay."""
+    """The rows of ``docs``, all columns, of one text of each class, that of the least doc_id; null ids all stay."""
     names = docs.columns
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    plain = docs.toDF(*(f"_{i}" for i in range(len(names)))).withColumn("_id", F.col(f"_{place(docs, 'doc_id')}").cast("bigint"))
-    kept = plain.join(gone, F.col("_id") == F.col("_gone"), "left_anti")
-    first = Window.partitionBy("_id").orderBy(F.col(f"_{place(docs, 'text')}"))
+    own, text = F.col(f"_{place(docs, 'doc_id')}").cast("bigint"), F.col(f"_{place(docs, 'text')}").cast("string")
+    plain = docs.toDF(*(f"_{i}" for i in range(len(names)))).withColumns({"_id": own, "_key": F.xxhash64(own, text)})
+    named = plain.where("_id is not null")
+    classes = near_duplicates(named.select("_key", text.alias("text")), id_column="_key").distinct()
+    classes = classes.join(named.select("_id", "_key").distinct(), F.col("doc_id") == F.col("_key"))
+    stay = classes.groupBy("class_id").agg(F.min(F.struct("_id", "_key")).alias("first")).select("first._key")
+    stay = stay.withColumnRenamed("_key", "_stay")
+    kept = plain.join(stay, F.col("_key") == F.col("_stay"), "left").where("_id is null or _stay is not null")
+    first = Window.partitionBy("_key").orderBy("_id")
     kept = kept.withColumn("_nth", F.when(F.col("_id").isNull(), 1).otherwise(F.row_number().over(first))).where("_nth = 1")
     return kept.select(*(F.col(f"_{i}").alias(n) for i, n in enumerate(names)))

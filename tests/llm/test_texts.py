@@ -122,6 +122,11 @@ def test_one_document_of_a_class_stays(spark):
     same(kept.select("doc_id", "text").collect(), [rows[1], rows[3], rows[4]])
 
 
+def test_texts_of_one_id_go_only_with_a_copy(spark):
+    rows = [(1, "a b c d e f"), (1, "u v w x y z"), (0, "a b c d e f"), (4, "one two three"), (4, "four five six"), (4, None)]
+    same(minhash.keep_one(docs(spark, rows)).select("doc_id", "text").collect(), rows[1:])
+
+
 def test_signatures_estimate_similarity():
     a = np.arange(1, 401, dtype=np.uint64)
     for shared in (200, 360):
