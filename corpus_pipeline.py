@@ -48,7 +48,8 @@ STAGES = [
     ("tokens", write_tokens),
 ]
 
-#: Compression, darts and byte pairs have no SQL form; the tests hold run() against brute force.
+#: Compression, darts and byte pairs have no SQL form. The tests hold the stages near_duplicates, decontaminate and tokens
+#: against brute force; language and mix are tested as operators (held-out accuracy, SQL), not as stages.
 ORACLE_SQL = None
 
 
