@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import category, customer, day, employee, line, order, product, rows
+from sales_rows import category, customer, day, employee, line, order, product, rows
 
 from pyspark.sql import functions as F
 

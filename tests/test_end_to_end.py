@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import rows
+from sales_rows import rows
 
 from martlet.plans import analyses, model, quality
 from martlet.plans.marts import MARTS, build_marts, read_marts, write_marts

@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import category, customer, day, employee, line, product, rows
+from sales_rows import category, customer, day, employee, line, product, rows
 from test_analyses import SHOP, changed
 
 from martlet.plans import analyses, model

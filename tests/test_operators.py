@@ -3,7 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
-from conftest import day, final_plan, rows
+from sales_rows import day, final_plan, rows
 from pyspark.sql import functions as F
 
 from martlet.operators import (

@@ -6,7 +6,7 @@ import re
 from pathlib import Path
 
 import pytest
-from conftest import final_plan, rows
+from sales_rows import final_plan, rows
 from pyspark.sql import functions as F
 
 from martlet import registry

@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import category, customer, employee, line, order, product, rows
+from sales_rows import category, customer, employee, line, order, product, rows
 
 from martlet.plans import quality
 from martlet.sources.schemas import FOREIGN_KEYS, RETAIL

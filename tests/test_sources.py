@@ -4,7 +4,7 @@ import datetime as dt
 from pathlib import Path
 
 import pytest
-from conftest import final_plan, order, rows
+from sales_rows import final_plan, order, rows
 from pyspark.errors import PySparkException
 from pyspark.sql import types as T
 
