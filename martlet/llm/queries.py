@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 from martlet.llm import (
     decontaminate,
     embedding_dedup,
+    html_text,
     language,
     licenses,
+    merkle,
     minhash,
     mixing,
+    spelling,
     substring_dedup,
     token_counts,
     token_files,
@@ -85,6 +88,18 @@ def op10_token_counts(spark: SparkSession, root: str) -> DataFrame:
     return token_counts.count_sections(table(spark, root, "documents"), BYTE_RANKS)
 
 
+def op11_spelling(spark: SparkSession, root: str) -> DataFrame:
+    return spelling.group_spellings(table(spark, root, "documents"))
+
+
+def op12_html_text(spark: SparkSession, root: str) -> DataFrame:
+    return html_text.extract_text(table(spark, root, "pages"))
+
+
+def op13_merkle(spark: SparkSession, root: str) -> DataFrame:
+    return merkle.manifest(table(spark, root, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = (
         op1_substring_dedup,
@@ -97,6 +112,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_licenses,
         op9_minhash,
         op10_token_counts,
+        op11_spelling,
+        op12_html_text,
+        op13_merkle,
     )
     return {f.__name__: f for f in made}
 
@@ -199,10 +217,104 @@ SELECT doc_id, domain, lang, source, CAST(UNNEST(range(1, copies + 1)) AS INTEGE
     return "WITH " + ",".join(steps)
 
 
+# The checksum of bytes: its 256-entry table by the polynomial, then one byte after another.
+_CRC = """
+crc AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda v, x: CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END) ORDER BY i) AS t
+  FROM (SELECT CAST(UNNEST(range(256)) AS BIGINT) AS i))"""
+_CRC_OF = "xor(list_reduce([4294967295] || {bytes}, lambda a, b: xor(a >> 8, t[xor(a & 255, b) + 1])), 4294967295)"
+
+_SPELLING = r"""
+WITH RECURSIVE {crc},
+runs AS (
+  SELECT id, run, COUNT(*) AS n FROM (
+    SELECT COALESCE(CAST(doc_id AS VARCHAR), '') AS id, UNNEST(regexp_extract_all(
+      translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents)
+  WHERE length(run) >= 7 GROUP BY ALL),
+bytes AS (
+  SELECT run, n, flatten(list_transform(string_split(id || ':' || run, ''), lambda c:
+    CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [195, unicode(c) - 64] END)) AS b FROM runs),
+sums AS (SELECT run, n, {crc_of} AS h FROM bytes, crc),
+slipped AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM sums),
+words AS (SELECT word, CAST(SUM(n) AS BIGINT) AS n FROM slipped WHERE length(word) >= 7 GROUP BY word HAVING SUM(n) >= 2),
+less AS (
+  SELECT word, n, k, substr(word, 1, k) || chr(1) || substr(word, k + 2) AS cut, substr(word, 1, k) || substr(word, k + 2) AS short
+  FROM (SELECT word, n, UNNEST(range(length(word))) AS k FROM words)),
+longer AS (SELECT DISTINCT less.word, less.n, words.word AS near, words.n AS near_n FROM less JOIN words ON words.word = less.short),
+pairs AS (
+  SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM less a JOIN less b ON a.cut = b.cut AND a.word <> b.word
+  UNION ALL SELECT * FROM longer UNION ALL SELECT near, near_n, word, n FROM longer),
+best AS (
+  SELECT *, COUNT(*) OVER (PARTITION BY word) AS n_near, ROW_NUMBER() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS nth FROM pairs),
+forms AS (SELECT word, near AS form, near_n AS form_n FROM best WHERE nth = 1 AND near_n >= 10 * n),
+path(word, root, step) AS (
+  SELECT word, form, 1 FROM forms
+  UNION ALL SELECT path.word, forms.form, step + 1 FROM path JOIN forms ON forms.word = path.root),
+roots AS (SELECT word, arg_max(root, step) AS root FROM path GROUP BY word)
+SELECT words.word, form, COALESCE(root, words.word) AS root, words.n, COALESCE(n_near, 0) AS n_near, form_n
+FROM words LEFT JOIN forms USING (word) LEFT JOIN roots USING (word)
+LEFT JOIN (SELECT DISTINCT word, n_near FROM best) USING (word)"""
+
+
+def _hash_sql(text: str) -> str:
+    values = ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text)
+    return "sha256(" + " || ".join(f"COALESCE(strlen({v}) || ':' || {v}, '-')" for v in values) + ")"
+
+
+def _grown_sql(name: str, base: str) -> str:
+    """Nodes of every level over ``base`` (tree, pos, h, n), and each node's run with its place in it."""
+    return f"""
+{name}(tree, level, pos, h, n) AS (
+  SELECT tree, 0, pos, h, n FROM {base}
+  UNION ALL
+  SELECT tree, level + 1, pos // 16, sha256(string_agg(h, '' ORDER BY pos)), MAX((n + 15) // 16) FROM {name} WHERE n > 1 GROUP BY tree, level, pos // 16),
+{name}_runs AS (SELECT tree, level, pos // 16 AS run, list(h ORDER BY pos) AS hs FROM {name} WHERE n > 1 GROUP BY ALL),
+{name}_sides AS (
+  SELECT b.tree, b.pos, level, array_to_string(list_slice(hs, 1, nth), '') AS l, array_to_string(list_slice(hs, nth + 2, 16), '') AS r
+  FROM (SELECT *, (b.pos // CAST(pow(16, level) AS BIGINT)) % 16 AS nth FROM {base} b
+        JOIN {name}_runs USING (tree) WHERE run = b.pos // CAST(pow(16, level + 1) AS BIGINT)) b),
+{name}_proof AS (
+  SELECT tree, pos, list({{'l': l, 'r': r}} ORDER BY level) AS sides FROM {name}_sides GROUP BY ALL)"""
+
+
+_MERKLE = f"""
+WITH RECURSIVE {{crc}},
+leaves AS (
+  SELECT doc_id, source, {_hash_sql("text")} AS leaf,
+    CASE WHEN {{crc_of}} % 5 = 0
+    THEN {_hash_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS other
+  FROM documents, crc),
+placed AS (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, COUNT(*) OVER (PARTITION BY source) AS n,
+    DENSE_RANK() OVER (ORDER BY source NULLS FIRST) - 1 AS tree FROM leaves),
+base AS (SELECT tree, pos, leaf AS h, n FROM placed),
+{_grown_sql("low", "base")},
+subroots AS (SELECT tree, h AS subroot FROM low WHERE n = 1),
+tops AS (SELECT 0 AS tree, tree AS pos, subroot AS h, COUNT(*) OVER () AS n FROM subroots),
+{_grown_sql("high", "tops")},
+whole AS (
+  SELECT doc_id, leaf, subroot, (SELECT h FROM high WHERE n = 1) AS root,
+    COALESCE(low_proof.sides, []) || COALESCE(high_proof.sides, []) AS sides, COALESCE(other, leaf) AS own
+  FROM placed JOIN subroots USING (tree) LEFT JOIN low_proof ON low_proof.tree = placed.tree AND low_proof.pos = placed.pos
+  LEFT JOIN high_proof ON high_proof.pos = placed.tree),
+folded AS (
+  SELECT *, list_reduce([{{{{'l': own, 'r': ''}}}}] || sides, lambda x, y: {{{{'l': sha256(y.l || x.l || y.r), 'r': ''}}}}).l AS folded_root FROM whole)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(sides, lambda s: s.l || s.r), '')) AS proof_sha256, folded_root,
+  folded_root = root AS verified
+FROM folded"""
+
+
+def _with_crc(sql: str, values: str) -> str:
+    return sql.replace("{crc}", _CRC.strip()).replace("{crc_of}", _CRC_OF.format(bytes=values)).replace("{{", "{").replace("}}", "}")
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_substring_dedup": _WORDS_GONE,
         "op2_url_filter": _URLS,
         "op3_embedding_dedup": _VECTORS,
         "op6_mixing": _mix_sql(),
+        "op11_spelling": _with_crc(_SPELLING, "b"),
+        "op13_merkle": _with_crc(_MERKLE, "list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))"),
     }
