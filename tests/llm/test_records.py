@@ -253,6 +253,7 @@ def test_main_text_of_odd_rows(spark, model):
 
 
 def test_a_model_of_own_pages():
-    pages = [(f"<div class=keep><p>{i} kept words</p></div><div class=drop><p>{i} other words</p></div>", [f"{i} kept words"]) for i in range(20)]
+    keep, drop = "<div class=keep><p>{} kept words</p></div>", "<div class=drop><p>{} other words</p></div>"
+    pages = [((keep + drop if i % 2 else drop + keep).format(i, i), [f"{i} kept words"]) for i in range(20)]
     model = html_text.train(pages, rounds=80)
     assert html_text.main_text("<div class=drop><p>a b c</p></div><div class=keep><p>d e f</p></div>", model) == "d e f"
