@@ -21,7 +21,8 @@ def read_database(
 
     With ``key`` and its range the read is split into ``partitions`` range
     queries, one per task. Rows outside the range are still read: the bounds
-    only place the cuts.
+    only place the cuts. Without a key one task reads the whole table, which suits
+    dimensions; asking for more partitions without a key is an error.
     """
     return spark.read.format("jdbc").options(
         **jdbc_options(url, table, key, lower, upper, partitions, fetch_size, properties)
@@ -39,6 +40,8 @@ def jdbc_options(
     properties: dict[str, str] | None = None,
 ) -> dict[str, str]:
     options = {"url": url, "dbtable": table, "fetchsize": str(fetch_size), **(properties or {})}
+    if key is None and partitions > 1:
+        raise ValueError("a read in several partitions needs a key to cut the table by")
     if key is not None:
         if lower is None or upper is None:
             raise ValueError("a partitioned read needs the lower and upper key")

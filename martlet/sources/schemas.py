@@ -2,49 +2,136 @@
 
 from __future__ import annotations
 
-import re
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import types as T
 
-# Column names, types, lengths and NOT NULL marks ("!") that the
-# users' tables have. ``text(n)`` is a string of at most n characters.
+REQUIRED, OPTIONAL = False, True
+
+# Name, Spark type, longest text and whether NULL is allowed, for each
+# column that the users' tables have.
 COLUMNS = {
-    "categories": "category_id short!, category_name text(15)!, description text, picture binary",
-    "customer_customer_demo": "customer_id text(5)!, customer_type_id text(5)!",
-    "customer_demographics": "customer_type_id text(5)!, customer_desc text",
+    "categories": (
+        ("category_id", "short", None, REQUIRED),
+        ("category_name", "string", 15, REQUIRED),
+        ("description", "string", None, OPTIONAL),
+        ("picture", "binary", None, OPTIONAL),
+    ),
+    "customer_customer_demo": (
+        ("customer_id", "string", 5, REQUIRED),
+        ("customer_type_id", "string", 5, REQUIRED),
+    ),
+    "customer_demographics": (
+        ("customer_type_id", "string", 5, REQUIRED),
+        ("customer_desc", "string", None, OPTIONAL),
+    ),
     "customers": (
-        "customer_id text(5)!, company_name text(40)!, contact_name text(30), contact_title text(30), "
-        "address text(60), city text(15), region text(15), postal_code text(10), country text(15), "
-        "phone text(24), fax text(24)"
+        ("customer_id", "string", 5, REQUIRED),
+        ("company_name", "string", 40, REQUIRED),
+        ("contact_name", "string", 30, OPTIONAL),
+        ("contact_title", "string", 30, OPTIONAL),
+        ("address", "string", 60, OPTIONAL),
+        ("city", "string", 15, OPTIONAL),
+        ("region", "string", 15, OPTIONAL),
+        ("postal_code", "string", 10, OPTIONAL),
+        ("country", "string", 15, OPTIONAL),
+        ("phone", "string", 24, OPTIONAL),
+        ("fax", "string", 24, OPTIONAL),
     ),
     "employees": (
-        "employee_id short!, last_name text(20)!, first_name text(10)!, title text(30), "
-        "title_of_courtesy text(25), birth_date date, hire_date date, address text(60), city text(15), "
-        "region text(15), postal_code text(10), country text(15), home_phone text(24), extension text(4), "
-        "photo binary, notes text, reports_to short, photo_path text(255)"
+        ("employee_id", "short", None, REQUIRED),
+        ("last_name", "string", 20, REQUIRED),
+        ("first_name", "string", 10, REQUIRED),
+        ("title", "string", 30, OPTIONAL),
+        ("title_of_courtesy", "string", 25, OPTIONAL),
+        ("birth_date", "date", None, OPTIONAL),
+        ("hire_date", "date", None, OPTIONAL),
+        ("address", "string", 60, OPTIONAL),
+        ("city", "string", 15, OPTIONAL),
+        ("region", "string", 15, OPTIONAL),
+        ("postal_code", "string", 10, OPTIONAL),
+        ("country", "string", 15, OPTIONAL),
+        ("home_phone", "string", 24, OPTIONAL),
+        ("extension", "string", 4, OPTIONAL),
+        ("photo", "binary", None, OPTIONAL),
+        ("notes", "string", None, OPTIONAL),
+        ("reports_to", "short", None, OPTIONAL),
+        ("photo_path", "string", 255, OPTIONAL),
+    ),
+    "employee_territories": (
+        ("employee_id", "short", None, REQUIRED),
+        ("territory_id", "string", 20, REQUIRED),
+    ),
+    "order_details": (
+        ("order_id", "short", None, REQUIRED),
+        ("product_id", "short", None, REQUIRED),
+        ("unit_price", "float", None, REQUIRED),
+        ("quantity", "short", None, REQUIRED),
+        ("discount", "float", None, REQUIRED),
     ),
-    "employee_territories": "employee_id short!, territory_id text(20)!",
-    "order_details": "order_id short!, product_id short!, unit_price float!, quantity short!, discount float!",
     "orders": (
-        "order_id short!, customer_id text(5), employee_id short, order_date date, required_date date, "
-        "shipped_date date, ship_via short, freight float, ship_name text(40), ship_address text(60), "
-        "ship_city text(15), ship_region text(15), ship_postal_code text(10), ship_country text(15)"
+        ("order_id", "short", None, REQUIRED),
+        ("customer_id", "string", 5, OPTIONAL),
+        ("employee_id", "short", None, OPTIONAL),
+        ("order_date", "date", None, OPTIONAL),
+        ("required_date", "date", None, OPTIONAL),
+        ("shipped_date", "date", None, OPTIONAL),
+        ("ship_via", "short", None, OPTIONAL),
+        ("freight", "float", None, OPTIONAL),
+        ("ship_name", "string", 40, OPTIONAL),
+        ("ship_address", "string", 60, OPTIONAL),
+        ("ship_city", "string", 15, OPTIONAL),
+        ("ship_region", "string", 15, OPTIONAL),
+        ("ship_postal_code", "string", 10, OPTIONAL),
+        ("ship_country", "string", 15, OPTIONAL),
     ),
     "products": (
-        "product_id short!, product_name text(40)!, supplier_id short, category_id short, "
-        "quantity_per_unit text(20), unit_price float, units_in_stock short, units_on_order short, "
-        "reorder_level short, discontinued int!"
+        ("product_id", "short", None, REQUIRED),
+        ("product_name", "string", 40, REQUIRED),
+        ("supplier_id", "short", None, OPTIONAL),
+        ("category_id", "short", None, OPTIONAL),
+        ("quantity_per_unit", "string", 20, OPTIONAL),
+        ("unit_price", "float", None, OPTIONAL),
+        ("units_in_stock", "short", None, OPTIONAL),
+        ("units_on_order", "short", None, OPTIONAL),
+        ("reorder_level", "short", None, OPTIONAL),
+        ("discontinued", "integer", None, REQUIRED),
+    ),
+    "region": (
+        ("region_id", "short", None, REQUIRED),
+        ("region_description", "string", 60, REQUIRED),
+    ),
+    "shippers": (
+        ("shipper_id", "short", None, REQUIRED),
+        ("company_name", "string", 40, REQUIRED),
+        ("phone", "string", 24, OPTIONAL),
     ),
-    "region": "region_id short!, region_description text(60)!",
-    "shippers": "shipper_id short!, company_name text(40)!, phone text(24)",
     "suppliers": (
-        "supplier_id short!, company_name text(40)!, contact_name text(30), contact_title text(30), "
-        "address text(60), city text(15), region text(15), postal_code text(10), country text(15), "
-        "phone text(24), fax text(24), homepage text"
+        ("supplier_id", "short", None, REQUIRED),
+        ("company_name", "string", 40, REQUIRED),
+        ("contact_name", "string", 30, OPTIONAL),
+        ("contact_title", "string", 30, OPTIONAL),
+        ("address", "string", 60, OPTIONAL),
+        ("city", "string", 15, OPTIONAL),
+        ("region", "string", 15, OPTIONAL),
+        ("postal_code", "string", 10, OPTIONAL),
+        ("country", "string", 15, OPTIONAL),
+        ("phone", "string", 24, OPTIONAL),
+        ("fax", "string", 24, OPTIONAL),
+        ("homepage", "string", None, OPTIONAL),
+    ),
+    "territories": (
+        ("territory_id", "string", 20, REQUIRED),
+        ("territory_description", "string", 60, REQUIRED),
+        ("region_id", "short", None, REQUIRED),
+    ),
+    "us_states": (
+        ("state_id", "short", None, REQUIRED),
+        ("state_name", "string", 100, OPTIONAL),
+        ("state_abbr", "string", 2, OPTIONAL),
+        ("state_region", "string", 50, OPTIONAL),
     ),
-    "territories": "territory_id text(20)!, territory_description text(60)!, region_id short!",
-    "us_states": "state_id short!, state_name text(100), state_abbr text(2), state_region text(50)",
 }
 
 # Primary keys.
@@ -85,24 +172,56 @@ FOREIGN_KEYS = (
 # The wholesale tables, with their published text lengths. Sales
 # grain there is order and part; line numbers are not unique.
 WHOLESALE_COLUMNS = {
-    "region": "r_regionkey int!, r_name text(25)!",
-    "nation": "n_nationkey int!, n_name text(25)!, n_regionkey int!",
+    "region": (
+        ("r_regionkey", "integer", None, REQUIRED),
+        ("r_name", "string", 25, REQUIRED),
+    ),
+    "nation": (
+        ("n_nationkey", "integer", None, REQUIRED),
+        ("n_name", "string", 25, REQUIRED),
+        ("n_regionkey", "integer", None, REQUIRED),
+    ),
     "customer": (
-        "c_custkey long!, c_name text(25)!, c_nationkey int!, c_acctbal double!, c_mktsegment text(10)!"
+        ("c_custkey", "long", None, REQUIRED),
+        ("c_name", "string", 25, REQUIRED),
+        ("c_nationkey", "integer", None, REQUIRED),
+        ("c_acctbal", "double", None, REQUIRED),
+        ("c_mktsegment", "string", 10, REQUIRED),
+    ),
+    "supplier": (
+        ("s_suppkey", "long", None, REQUIRED),
+        ("s_name", "string", 25, REQUIRED),
+        ("s_nationkey", "integer", None, REQUIRED),
+        ("s_acctbal", "double", None, REQUIRED),
     ),
-    "supplier": "s_suppkey long!, s_name text(25)!, s_nationkey int!, s_acctbal double!",
     "part": (
-        "p_partkey long!, p_name text(55)!, p_brand text(10)!, p_type text(25)!, p_size int!, "
-        "p_retailprice double!"
+        ("p_partkey", "long", None, REQUIRED),
+        ("p_name", "string", 55, REQUIRED),
+        ("p_brand", "string", 10, REQUIRED),
+        ("p_type", "string", 25, REQUIRED),
+        ("p_size", "integer", None, REQUIRED),
+        ("p_retailprice", "double", None, REQUIRED),
     ),
     "orders": (
-        "o_orderkey long!, o_custkey long!, o_orderstatus text(1)!, o_totalprice double!, "
-        "o_orderdate timestamp!, o_orderpriority text(15)!"
+        ("o_orderkey", "long", None, REQUIRED),
+        ("o_custkey", "long", None, REQUIRED),
+        ("o_orderstatus", "string", 1, REQUIRED),
+        ("o_totalprice", "double", None, REQUIRED),
+        ("o_orderdate", "timestamp_ntz", None, REQUIRED),
+        ("o_orderpriority", "string", 15, REQUIRED),
     ),
     "lineitem": (
-        "l_orderkey long!, l_partkey long!, l_suppkey long!, l_linenumber int!, l_quantity double!, "
-        "l_extendedprice double!, l_discount double!, l_tax double!, l_returnflag text(1)!, "
-        "l_linestatus text(1)!, l_shipdate timestamp!"
+        ("l_orderkey", "long", None, REQUIRED),
+        ("l_partkey", "long", None, REQUIRED),
+        ("l_suppkey", "long", None, REQUIRED),
+        ("l_linenumber", "integer", None, REQUIRED),
+        ("l_quantity", "double", None, REQUIRED),
+        ("l_extendedprice", "double", None, REQUIRED),
+        ("l_discount", "double", None, REQUIRED),
+        ("l_tax", "double", None, REQUIRED),
+        ("l_returnflag", "string", 1, REQUIRED),
+        ("l_linestatus", "string", 1, REQUIRED),
+        ("l_shipdate", "timestamp_ntz", None, REQUIRED),
     ),
 }
 WHOLESALE_PRIMARY_KEYS = {
@@ -124,18 +243,7 @@ WHOLESALE_FOREIGN_KEYS = (
     ("lineitem", "l_suppkey", "supplier", "s_suppkey"),
 )
 
-_SPARK_TYPES = {
-    "short": T.ShortType(),
-    "int": T.IntegerType(),
-    "long": T.LongType(),
-    "float": T.FloatType(),
-    "double": T.DoubleType(),
-    "date": T.DateType(),
-    "timestamp": T.TimestampNTZType(),
-    "binary": T.BinaryType(),
-    "text": T.StringType(),
-}
-_COLUMN = re.compile(r"(\w+) (\w+)(?:\((\d+)\))?(!?)")
+Column = tuple[str, str, int | None, bool]
 
 
 @dataclass(frozen=True)
@@ -149,15 +257,17 @@ class TableSpec:
     max_length: dict[str, int]
 
 
-def table_spec(name: str, columns: str, primary_key: tuple[str, ...] = ()) -> TableSpec:
-    """Parse ``"a long!, b text(5)"``. Fields stay nullable: files are checked, not trusted."""
-    parsed = [_COLUMN.fullmatch(part.strip()).groups() for part in columns.split(",")]
+def table_spec(name: str, columns: Sequence[Column], primary_key: tuple[str, ...] = ()) -> TableSpec:
+    """Schema and rules of a table. Fields stay nullable: files are checked, not trusted."""
+    schema = T.StructType()
+    for column, kind, _, _ in columns:
+        schema = schema.add(column, kind)
     return TableSpec(
         name=name,
-        schema=T.StructType([T.StructField(c, _SPARK_TYPES[kind]) for c, kind, _, _ in parsed]),
+        schema=schema,
         primary_key=primary_key,
-        not_null=tuple(c for c, _, _, mark in parsed if mark),
-        max_length={c: int(n) for c, _, n, _ in parsed if n},
+        not_null=tuple(column for column, _, _, nullable in columns if nullable is REQUIRED),
+        max_length={column: longest for column, _, longest, _ in columns if longest},
     )
 
 

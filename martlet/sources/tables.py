@@ -22,9 +22,15 @@ def register_views(tables: Mapping[str, DataFrame]) -> None:
         df.createOrReplaceTempView(name)
 
 
-def run_query(spark: SparkSession, sql: str, params: Mapping[str, object] | None = None) -> DataFrame:
-    """Run SQL text with named parameters (``:name``)."""
-    return spark.sql(sql, args=dict(params)) if params else spark.sql(sql)
+def run_query(
+    spark: SparkSession, sql: str, params: Mapping[str, object] | None = None, tables: Mapping[str, DataFrame] | None = None
+) -> DataFrame:
+    """Run SQL text with named parameters (``:name``).
+
+    Tables given by name stand for ``{name}`` in the text; no view of the session is
+    made or replaced for them.
+    """
+    return spark.sql(sql, args=dict(params) if params else None, **(tables or {}))
 
 
 def list_tables(spark: SparkSession, database: str | None = None) -> DataFrame:

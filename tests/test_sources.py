@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from martlet import sources
 from martlet.session import SETTINGS, clear_scratch, materialise, scratch_dir, shuffle_partitions
 from martlet.sources.jdbc import jdbc_options
-from martlet.sources.schemas import FOREIGN_KEYS, RETAIL, WHOLESALE, table_spec
+from martlet.sources.schemas import FOREIGN_KEYS, OPTIONAL, REQUIRED, RETAIL, WHOLESALE, table_spec
 
 # Own sample lines with the shapes a dump can hold.
 DUMP = r"""
@@ -50,6 +50,21 @@ def check_loaded(tables):
     assert tables["shippers"].count() == 0
 
 
+@pytest.mark.parametrize("partitions", [2, 100])
+def test_a_database_is_not_cut_without_a_key(partitions):
+    with pytest.raises(ValueError, match="needs a key"):
+        jdbc_options("jdbc:x", "t", partitions=partitions)
+
+
+def test_sql_text_over_given_tables_leaves_views_alone(spark, tables):
+    spark.range(7).createOrReplaceTempView("orders")
+    built = tables(orders=[order(1, "1997-01-05"), order(2, "1997-01-06")])
+    text = "SELECT COUNT(*) AS n FROM {orders} WHERE order_id > :k"
+    assert sources.run_query(spark, text, {"k": 1}, {"orders": built["orders"]}).first()["n"] == 1
+    assert spark.table("orders").count() == 7
+    spark.catalog.dropTempView("orders")
+
+
 def test_dump_is_read_with_declared_types(spark, dump):
     tables = sources.read_dump(spark, dump)
     assert {n: [f.dataType for f in t.schema] for n, t in tables.items()} == {
@@ -91,7 +106,11 @@ def test_declared_schemas():
     assert all(set(s.primary_key) <= set(s.not_null) for s in RETAIL.values())
     assert RETAIL["customers"].max_length["company_name"] == 40
     assert RETAIL["orders"].schema["freight"].dataType == T.FloatType()
-    spec = table_spec("t", "a long!, b text(3), c text", ("a",))
+    spec = table_spec(
+        "t",
+        [("a", "long", None, REQUIRED), ("b", "string", 3, OPTIONAL), ("c", "string", None, OPTIONAL)],
+        ("a",),
+    )
     assert spec.not_null == ("a",) and spec.max_length == {"b": 3} and len(spec.schema) == 3
     assert set(WHOLESALE) == {"region", "nation", "customer", "supplier", "part", "orders", "lineitem"}
 
