@@ -3,7 +3,7 @@ the DataFrame code, for checking one against the other."""
 
 from __future__ import annotations
 
-from martlet.registry import SMALL_SHARE
+from martlet.registry import CUT_DAYS, SMALL_SHARE
 from martlet.sources.schemas import WHOLESALE, WHOLESALE_FOREIGN_KEYS
 
 _NET = "CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(28,8))"
@@ -184,16 +184,65 @@ _ADDITIVE = f"""COUNT(*) AS line_count,
        CAST(SUM({_NET}) AS DOUBLE) AS net_revenue"""
 
 
-def oracle_sql() -> dict[str, str]:
-    sql = _oracle_sql()
-    for name in ("seller_rank", "seller_dense_rank", "category_pareto"):
-        sql[f"{name}_sliced"] = sql[name]
-    return sql
+def _marts_figures() -> str:
+    parts = [
+        ("kpis", "'total_revenue'", "revenue", "k"),
+        ("kpis", "'total_orders'", "n", "k"),
+        ("kpis", "'avg_order_value'", "revenue / n", "k"),
+        ("best_month", "month", "CAST(total AS DOUBLE)", "(SELECT * FROM monthly ORDER BY total DESC, month LIMIT 1)"),
+        ("sellers", "seller_id", "total_sales", "ranked"),
+        ("seller_ranks", "seller_id", "sales_rank", "ranked"),
+        ("seller_shares", "seller_id", "pct_of_total", "ranked"),
+        ("monthly", "month", "CAST(total AS DOUBLE)", "monthly"),
+        ("running", "month", "r", "(SELECT month, CAST(SUM(total) OVER (ORDER BY month) AS DOUBLE) AS r FROM monthly)"),
+        ("growth", "month", "growth_rate", "growth"),
+        ("customers", "customer_id", "total_spent", "labelled"),
+        ("customer_orders", "customer_id", "order_count", "labelled"),
+        ("categories", "category_id", "total_sales", "shares"),
+        ("category_shares", "category_id", "sales_pct", "shares"),
+        ("top_products", "product_id", "total_sales", "(SELECT * FROM numbered WHERE rn <= 3)"),
+    ]
+    segments = _SEGMENTS.removeprefix(f"{_ORDER_VALUES},").strip()
+    products = _product_sales(_NET).strip()
+    rows = "\nUNION ALL ".join(
+        f"SELECT '{mart}' AS mart, CAST({item} AS VARCHAR) AS item, CAST({figure} AS DOUBLE) AS figure FROM {source}"
+        for mart, item, figure, source in parts
+    )
+    return f"""WITH {_GROWTH}, {segments}, {_SELLERS.strip()}, {products},
+k AS (SELECT CAST(SUM(order_value) AS DOUBLE) AS revenue, COUNT(*) AS n FROM order_values),
+shares AS ({_category_share(_NET)})
+{rows}"""
+
+
+def _distinct_orders() -> str:
+    return "\nUNION ALL\n".join(
+        f"""SELECT '{level}' AS level, CAST(date_trunc('{level}', o_orderdate) AS DATE) AS period, {category} AS category,
+       COUNT(DISTINCT o_orderkey) AS order_count
+FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey GROUP BY ALL"""
+        for level in ("month", "quarter", "year")
+        for category in ("p_type", "CAST(NULL AS VARCHAR)")
+    )
 
 
-def _oracle_sql() -> dict[str, str]:
+def _flag_changes() -> str:
+    before, after = (f"DATE '{d}'" for d in CUT_DAYS)
+    mean = "CAST(SUM(order_value) AS DOUBLE) / COUNT(*)"
+    label = "CASE WHEN CAST(order_value AS DOUBLE) > {} THEN 'Above Average' ELSE 'Below Average' END"
+    return f"""WITH {_ORDER_VALUES},
+a AS (SELECT {mean} AS old FROM order_values WHERE order_date <= {before}),
+b AS (SELECT {mean} AS new FROM order_values WHERE order_date <= {after}),
+labelled AS (
+  SELECT order_id, customer_id, CAST(order_value AS DOUBLE) AS order_value, {label.format("old")} AS label_before,
+         {label.format("new")} AS label_after
+  FROM order_values, a, b WHERE order_date <= {before})
+SELECT * FROM labelled WHERE label_before <> label_after"""
+
+
+def oracle_sql() -> dict[str, str]:
     return {
         "seller_rank": f"""WITH {_SELLERS}
+SELECT seller_id, seller_name, total_sales, pct_of_total, sales_rank FROM ranked""",
+        "seller_rank_laid_out": f"""WITH {_SELLERS}
 SELECT seller_id, seller_name, total_sales, pct_of_total, sales_rank FROM ranked""",
         "kpi_summary": f"""
 SELECT CAST(SUM({_NET}) AS DOUBLE) AS total_revenue, COUNT(DISTINCT o_orderkey) AS total_orders,
@@ -361,6 +410,25 @@ GROUP BY ALL""",
 SELECT year(o_orderdate) AS year, p_type AS category_name, {_ADDITIVE}
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
 GROUP BY ALL""",
+        "revenue_by_weekday": f"""
+SELECT dayofweek(o_orderdate) AS day_of_week, {_ADDITIVE}
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL""",
+        "revenue_by_seller_nation": f"""
+SELECT r_name AS sales_region, n_name AS territory, {_ADDITIVE}
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey
+     JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+GROUP BY ALL""",
+        "rollup_from_aggregate": f"""
+SELECT year(o_orderdate) AS year, quarter(o_orderdate) AS quarter, r_name AS region, {_ADDITIVE}
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
+     JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+GROUP BY ALL""",
+        "distinct_orders_rollup": _distinct_orders(),
+        "marts_figures": _marts_figures(),
+        "monthly_after_append": f"""WITH {_MONTHLY}
+SELECT month, CAST(total AS DOUBLE) AS total_sales, CAST(SUM(total) OVER (ORDER BY month) AS DOUBLE) AS running_total
+FROM monthly""",
+        "flag_changes": _flag_changes(),
         "avg_price_discount": """
 SELECT p_type AS category_id, p_type AS category_name,
        CAST(SUM(CAST(l_extendedprice / l_quantity AS DECIMAL(20,8))) AS DOUBLE) / COUNT(*) AS avg_unit_price,

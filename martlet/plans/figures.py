@@ -25,6 +25,7 @@ from martlet.plans.totals import (
     product_totals,
     seller_totals,
 )
+from martlet.session import materialise
 from martlet.sources.star import Star
 
 
@@ -100,8 +101,11 @@ def product_beats_category(star: Star) -> DataFrame:
     """Best product of each category and how many other categories it outsells.
 
     Product and category totals are sorted together; the categories before a
-    product are those it exceeds, so no pairs are formed.
+    product are those it exceeds, so no pairs are formed. Product totals are written
+    first, so that the lines are read once.
     """
+    if "product_totals_charged" not in star.shared:
+        star = star.with_shared(product_totals_charged=materialise(product_totals(star), "product-totals"))
     categories = category_totals(star)
     named = product_totals(star).filter(F.col("category_id").isNotNull())
     best = top_n_per_group(named, "category_id", "total_sales", "product_id", 1).join(

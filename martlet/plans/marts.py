@@ -4,31 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from martlet.plans import analyses
-from martlet.plans.totals import order_values, product_totals
-from martlet.session import materialise
+from martlet.plans.totals import share_totals
 from martlet.sources.star import Star
 from martlet.sources.writers import write_table
 
 MARTS = ("kpis", "best_month", "sellers", "monthly", "growth", "customers", "categories", "top_products")
 
 
-def share_totals(star: Star) -> Star:
-    """The star with the totals most analyses start from written to the scratch folder.
-
-    Call it once before a batch of analyses: the lines are then read once per key
-    instead of once per result, an analysis that compares orders with their
-    average does not join twice, and a lost executor does not repeat that work.
-    """
-    return star.with_shared(
-        order_values=materialise(order_values(star), "order-values"),
-        product_totals_charged=materialise(product_totals(star), "product-totals"),
-    )
-
-
 def build_marts(star: Star) -> dict[str, DataFrame]:
     """The eight dashboard results over shared totals."""
     star = share_totals(star)
@@ -56,3 +44,34 @@ def write_marts(marts: Mapping[str, DataFrame], root: str) -> None:
 
 def read_marts(spark: SparkSession, root: str, names: Iterable[str] = MARTS) -> dict[str, DataFrame]:
     return {name: spark.read.parquet(f"{root}/{name}") for name in names}
+
+
+def marts_figures(star: Star) -> DataFrame:
+    """The main figures of all marts as one table: ``mart``, ``item``, ``figure``.
+
+    Items are keys or names as text, so that reports can be compared row by row.
+    """
+    marts = build_marts(star)
+
+    def figures(mart: str, item: str | Column, figure: str, name: str | None = None) -> DataFrame:
+        item = F.col(item) if isinstance(item, str) else item
+        return marts[mart].select(
+            F.lit(name or mart).alias("mart"), item.cast("string").alias("item"), F.col(figure).cast("double").alias("figure")
+        )
+
+    parts = [
+        *(figures("kpis", F.lit(k), k) for k in ("total_revenue", "total_orders", "avg_order_value")),
+        figures("best_month", "month", "total_sales"),
+        figures("sellers", "seller_id", "total_sales"),
+        figures("sellers", "seller_id", "sales_rank", "seller_ranks"),
+        figures("sellers", "seller_id", "pct_of_total", "seller_shares"),
+        figures("monthly", "month", "total_sales"),
+        figures("monthly", "month", "running_total", "running"),
+        figures("growth", "month", "growth_rate"),
+        figures("customers", "customer_id", "total_spent"),
+        figures("customers", "customer_id", "order_count", "customer_orders"),
+        figures("categories", "category_id", "total_sales"),
+        figures("categories", "category_id", "sales_pct", "category_shares"),
+        figures("top_products", "product_id", "total_sales"),
+    ]
+    return reduce(DataFrame.unionByName, parts)

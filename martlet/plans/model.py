@@ -3,10 +3,14 @@ dimensions, the sales fact at line grain, and roll-ups of its additive measures.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from martlet.functions import as_double, exact_sum, money
+from martlet.functions.measures import SCALE
 from martlet.sources.star import Star
 
 
@@ -107,11 +111,13 @@ _DATES = {
     "month": "trunc(order_date, 'month')",
     "quarter": "CAST(quarter(order_date) AS BIGINT)",
     "year": "CAST(year(order_date) AS BIGINT)",
+    "day_of_week": "CAST(dayofweek(order_date) - 1 AS BIGINT)",
 }
 # Other attribute -> the dimension key that leads to it.
 _DIMENSION_KEYS = {
     "customer_id": "customer_id",
     "customer_name": "customer_id",
+    "contact_name": "customer_id",
     "city": "customer_id",
     "country": "customer_id",
     "nation": "customer_id",
@@ -122,9 +128,19 @@ _DIMENSION_KEYS = {
     "brand": "product_id",
     "category_id": "product_id",
     "category_name": "product_id",
+    "list_price": "product_id",
+    "discontinued": "product_id",
+    "supplier_id": "product_id",
+    "supplier_name": "product_id",
     "seller_id": "seller_id",
     "seller_name": "seller_id",
+    "title": "seller_id",
+    "hire_date": "seller_id",
+    "shipper_id": "shipper_id",
+    "shipper_name": "shipper_id",
 }
+# Attributes of the seller's territories, of which there may be several.
+_SEVERAL = ("territory_id", "territory", "sales_region")
 _ADDITIVE = ("line_count", "quantity", "gross_revenue", "net_revenue")
 
 
@@ -141,17 +157,28 @@ def _added(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in _ADDITIVE])
 
 
-def revenue_by(star: Star, *by: str) -> DataFrame:
-    """Additive measures rolled up by any attributes of the dimensions.
+def _checked(star: Star, by: tuple[str, ...]) -> None:
+    unknown = [a for a in by if a not in _DATES and a not in _DIMENSION_KEYS and a not in _SEVERAL]
+    if unknown or not by:
+        known = sorted([*_DATES, *_DIMENSION_KEYS, *_SEVERAL])
+        raise ValueError(f"unknown attributes {unknown}; known are {known}")
+    if set(by) & set(_SEVERAL) and not star.has("territories"):
+        raise ValueError("the source has no territories")
+
+
+def exact_measures(star: Star, *by: str) -> DataFrame:
+    """Additive measures by any attributes of the dimensions, as exact decimals.
 
     Only the dimensions in use are joined, after the lines have been summed on
-    the dimension keys.
+    the dimension keys. Attributes of territories go through the bridge: see
+    ``_allocated``.
     """
-    unknown = [a for a in by if a not in _DATES and a not in _DIMENSION_KEYS]
-    if unknown or not by:
-        raise ValueError(f"unknown attributes {unknown}; known are {sorted([*_DATES, *_DIMENSION_KEYS])}")
-    dates = [a for a in by if a in _DATES]
-    dimensions = sorted({_DIMENSION_KEYS[a] for a in by if a in _DIMENSION_KEYS})
+    _checked(star, by)
+    plain = [a for a in by if a not in _SEVERAL]
+    several = [a for a in by if a in _SEVERAL]
+    dates = [a for a in plain if a in _DATES]
+    dimensions = {_DIMENSION_KEYS[a] for a in plain if a in _DIMENSION_KEYS}
+    dimensions = sorted(dimensions | {"seller_id"} if several else dimensions)
     keys = dates + dimensions
 
     order_keys = [k for k in dimensions if k not in star.lines.columns]
@@ -173,16 +200,66 @@ def revenue_by(star: Star, *by: str) -> DataFrame:
         products = star.products
         if "category_name" in by:
             products = products.join(star.categories, "category_id")
+        if "supplier_name" in by:
+            products = products.join(star.suppliers, "supplier_id")
         rows = rows.join(products, "product_id")
+    if "shipper_id" in dimensions:
+        rows = rows.join(star.shippers, "shipper_id") if "shipper_name" in by else rows
     if "seller_id" in dimensions:
         rows = rows.join(star.sellers, "seller_id")
-    if keys != list(by):
+    if several:
+        rows = _allocated(_added(rows, list(dict.fromkeys([*plain, "seller_id"]))), star)
+    if several or keys != list(by):
         rows = _added(rows, list(by))
-    return rows.select(
+    return rows.select(*by, *_ADDITIVE)
+
+
+def territory_bridge(star: Star) -> DataFrame:
+    """One row per seller and territory, with the number of the territory and how many the seller has."""
+    territories = star.territories.select("seller_id", *_SEVERAL).distinct()
+    own = W.partitionBy("seller_id")
+    return territories.withColumns(
+        {"nth": F.row_number().over(own.orderBy("territory_id")), "territories": F.count("*").over(own)}
+    )
+
+
+def _allocated(rows: DataFrame, star: Star) -> DataFrame:
+    """Rows by seller, dealt to the seller's territories.
+
+    Each of n territories gets an n-th of the smallest units of a measure, and the
+    first ones one unit more until nothing is left, so that the parts add up to the
+    whole exactly however often a seller occurs in the bridge. Sellers without a
+    territory keep their measures under NULL.
+    """
+    joined = rows.join(territory_bridge(star), "seller_id", "left")
+    n = F.coalesce("territories", F.lit(1)).cast("decimal(10,0)")
+    nth = F.coalesce("nth", F.lit(1))
+
+    def part(measure: str) -> Column:
+        scale = 0 if measure == "line_count" else SCALE
+        units = (F.col(measure).cast(f"decimal(28,{scale})") * F.lit(Decimal(10**scale))).cast("decimal(38,0)")
+        rest = F.pmod(units, n)
+        whole = ((units - rest) / n).cast("decimal(28,0)")
+        dealt = whole + F.when(nth <= rest, 1).otherwise(0)
+        if not scale:
+            return dealt.cast("bigint")
+        return (dealt.cast("decimal(28,0)") * F.lit(Decimal(1).scaleb(-scale))).cast(f"decimal(28,{scale})")
+
+    return joined.withColumns({m: part(m) for m in _ADDITIVE})
+
+
+def as_report(measures: DataFrame, *by: str) -> DataFrame:
+    """Exact measures as doubles, sorted by the attributes."""
+    return measures.select(
         *by, "line_count", *[as_double(F.col(c)).alias(c) for c in _ADDITIVE[1:]]
     ).orderBy(*[F.col(c).asc_nulls_last() for c in by])
 
 
+def revenue_by(star: Star, *by: str) -> DataFrame:
+    """Additive measures rolled up by any attributes of the dimensions."""
+    return as_report(exact_measures(star, *by), *by)
+
+
 def avg_price_discount(star: Star) -> DataFrame:
     """Average unit price and discount per category: rates are averaged, never added up."""
     per_product = star.lines.groupBy("product_id").agg(

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from martlet.functions import as_double, exact_sum
@@ -22,7 +22,9 @@ from martlet.plans.totals import (
     order_values,
     product_totals,
     seller_totals,
+    share_totals,
 )
+from martlet.session import materialise
 from martlet.sources.schemas import TableSpec
 from martlet.sources.star import Star
 
@@ -41,11 +43,38 @@ def grain_check(star: Star) -> DataFrame:
     return duplicate_keys(star.lines, ["order_id", "product_id"])
 
 
+def _key_hash(keys: Iterable[str]) -> Column:
+    return F.xxhash64(*keys)
+
+
+def repeated_hashes(tables: Mapping[str, DataFrame], specs: Mapping[str, TableSpec]) -> DataFrame:
+    """``table_name`` and ``h`` of key hashes that occur more than once.
+
+    What is exchanged is a hash and a count, 16 bytes a key, however wide the key is.
+    """
+    screens = [
+        tables[n].groupBy(_key_hash(s.primary_key).alias("h")).agg(F.count("*").alias("n")).filter("n > 1")
+        .select(F.lit(n).alias("table_name"), "h")
+        for n, s in specs.items()
+        if s.primary_key
+    ]
+    return _union(screens)
+
+
 def key_duplicates(tables: Mapping[str, DataFrame], specs: Mapping[str, TableSpec]) -> DataFrame:
-    """Per table: repeated primary keys and the rows they add."""
+    """Per table: repeated primary keys and the rows they add.
+
+    Equal keys have equal hashes, so only rows whose hash occurs more than once are
+    compared by their keys. The repeated hashes are written first: as their size is
+    then known, the rows that are looked at again stay where they are.
+    """
+    suspects = materialise(repeated_hashes(tables, specs), "repeated-hashes")
 
     def check(name: str, spec: TableSpec) -> DataFrame:
-        found = duplicate_keys(tables[name], spec.primary_key).agg(
+        own = suspects.filter(F.col("table_name") == name).select("h")
+        keys = tables[name].select(*spec.primary_key)
+        again = keys.join(own, _key_hash(spec.primary_key) == F.col("h"), "left_semi")
+        found = duplicate_keys(again, spec.primary_key).agg(
             F.count("*").alias("repeated_keys"),
             F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("surplus_rows"),
         )
@@ -155,7 +184,11 @@ def fanout_check(star: Star) -> DataFrame:
 
 
 def reconcile(star: Star) -> DataFrame:
-    """Invariants of the reports, one row per rule: totals agree and shares add up to 100."""
+    """Invariants of the reports, one row per rule: totals agree and shares add up to 100.
+
+    All rules work on totals that are summed once, in one pass over the lines.
+    """
+    star = share_totals(star)
     total = as_double(order_values(star).agg(F.sum("order_value")).scalar())
     sold = as_double(product_totals(star).agg(F.sum("total_sales")).scalar())
     running = running_total(monthly_sales(star), "month", "total_sales", short_series=True)

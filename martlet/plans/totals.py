@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from martlet.functions import exact_sum
+from martlet.functions.measures import MONEY
+from martlet.session import materialise
 from martlet.sources.star import Star
 
 PRICES = ("charged", "list")
@@ -31,6 +33,8 @@ def order_values(star: Star) -> DataFrame:
 
 def monthly_sales(star: Star) -> DataFrame:
     """``month`` (first day) and exact ``total_sales``; orders without a date share a NULL month."""
+    if "monthly_sales" in star.shared:
+        return star.shared["monthly_sales"]
     return (
         order_values(star)
         .groupBy(F.trunc("order_date", "month").alias("month"))
@@ -40,7 +44,9 @@ def monthly_sales(star: Star) -> DataFrame:
 
 def seller_totals(star: Star) -> DataFrame:
     """``seller_id``, ``seller_name`` and exact ``total_sales`` over lines of known orders."""
-    if star.seller_on_lines:
+    if "seller_sums" in star.shared:
+        per_seller = star.shared["seller_sums"]
+    elif star.seller_on_lines:
         lines = star.lines
         if not star.orders_checked:
             lines = lines.join(star.orders.select("order_id"), "order_id", "left_semi")
@@ -97,3 +103,49 @@ def customer_totals(star: Star) -> DataFrame:
     )
     named = per_customer.join(star.customers.select("customer_id", "customer_name"), "customer_id")
     return named.select("customer_id", "customer_name", "order_count", "total_spent")
+
+
+def line_sums(star: Star) -> DataFrame:
+    """Exact sums of the lines by order and by product, out of one scan and one exchange.
+
+    ``of_order`` is 1 for rows by order (and seller, where the lines carry one) and 0
+    for rows by product; the keys of the other kind are NULL.
+    """
+    of_order = ["order_id", "seller_id"] if star.seller_on_lines else ["order_id"]
+    sets = star.lines.groupingSets([of_order, ["product_id"]], *of_order, "product_id")
+    return sets.agg(F.grouping("product_id").cast("int").alias("of_order"), exact_sum("net").alias("net"))
+
+
+def share_totals(star: Star) -> Star:
+    """The star with all totals that analyses start from written to the scratch folder.
+
+    The lines are read once: sums by order, seller and product come from one pass with
+    grouping sets, and what is left works on these. Orders and sellers are told apart
+    in one more pass over the sums, after orders that do not exist have dropped out.
+    A lost executor repeats neither.
+    """
+    sums = materialise(line_sums(star), "line-sums")
+    by_order = sums.filter("of_order = 1").drop("product_id", "of_order")
+    known = by_order.join(star.orders, "order_id")
+    columns = star.orders.columns
+    if star.seller_on_lines:
+        sets = known.groupingSets([columns, ["seller_id"]], *columns, "seller_id")
+        both = materialise(
+            sets.agg(F.grouping("seller_id").cast("int").alias("of_order"), F.sum("net").cast(MONEY).alias("net")), "order-sums"
+        )
+        values = both.filter("of_order = 1").select(*columns, F.col("net").alias("order_value"))
+        sellers = both.filter("of_order = 0").select("seller_id", F.col("net").alias("total_sales"))
+    else:
+        values = materialise(known.select(*columns, F.col("net").alias("order_value")), "order-values")
+        sellers = materialise(values.groupBy("seller_id").agg(F.sum("order_value").alias("total_sales")), "seller-sums")
+    products = star.products.select("product_id", "product_name", "category_id")
+    by_product = sums.filter("of_order = 0").select("product_id", F.col("net").alias("total_sales"))
+    by_product = by_product.join(products, "product_id")
+    shared = star.with_shared(
+        order_values=values,
+        seller_sums=sellers,
+        product_totals_charged=materialise(
+            by_product.select("product_id", "product_name", "category_id", "total_sales"), "product-totals"
+        ),
+    )
+    return shared.with_shared(monthly_sales=materialise(monthly_sales(shared), "monthly-sales"))

@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martlet.plans import analyses, figures, model, quality
+from martlet.plans import analyses, distinct, figures, lattice, layout, marts, model, quality, upkeep
 from martlet.sources.schemas import WHOLESALE, WHOLESALE_FOREIGN_KEYS
 from martlet.sources.star import Star, read_wholesale, star_from_parquet
-from martlet.sources.tables import preview, register_views, run_query
+from martlet.sources.tables import preview, run_query
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 # Category shares are near 100/6 in the wholesale tables, so this splits them.
 SMALL_SHARE = 100 / 6
 
+#: Days between which ``flag_changes`` compares the labels.
+CUT_DAYS = (dt.date(1996, 6, 30), dt.date(1997, 6, 30))
+
 _STAR: dict[str, Callable[[Star], DataFrame]] = {
     # sales analyses
     "seller_rank": analyses.seller_rank,
@@ -45,10 +49,6 @@ _STAR: dict[str, Callable[[Star], DataFrame]] = {
     "top15_customers": analyses.top_customers,
     "category_top3_total": analyses.category_top_total,
     "product_share_in_category": analyses.product_share_in_category,
-    # other names of rankings and running totals, which have one form whatever their size
-    "seller_rank_sliced": analyses.seller_rank,
-    "seller_dense_rank_sliced": analyses.seller_dense_rank,
-    "category_pareto_sliced": figures.category_pareto,
     # exploration
     "order_seller_detail": analyses.order_seller_detail,
     "order_customer_detail": analyses.order_customer_detail,
@@ -75,7 +75,16 @@ _STAR: dict[str, Callable[[Star], DataFrame]] = {
     "fact_sales": model.fact_sales,
     "revenue_by_nation": lambda s: model.revenue_by(s, "region", "nation"),
     "revenue_by_year_category": lambda s: model.revenue_by(s, "year", "category_name"),
+    "revenue_by_weekday": lambda s: model.revenue_by(s, "day_of_week"),
+    "revenue_by_seller_nation": lambda s: model.revenue_by(s, "sales_region", "territory"),
+    "rollup_from_aggregate": lattice.rollup_from_aggregate,
+    "distinct_orders_rollup": distinct.distinct_orders_rollup,
     "avg_price_discount": model.avg_price_discount,
+    # results in one pass, and results that are kept up to date
+    "marts_figures": marts.marts_figures,
+    "monthly_after_append": upkeep.monthly_after_append,
+    "seller_rank_laid_out": layout.seller_rank_laid_out,
+    "flag_changes": lambda s: upkeep.flag_changes(s, *CUT_DAYS),
     # data quality over the star
     "grain_check": quality.grain_check,
     "fanout_check": quality.fanout_check,
@@ -104,12 +113,12 @@ def _table_counts(spark: SparkSession, root: str) -> DataFrame:
 
 _STATUS_SQL = """
 SELECT o_orderpriority, COUNT(*) AS n_orders, MIN(CAST(o_orderdate AS DATE)) AS first_date
-FROM orders WHERE o_orderstatus = :status GROUP BY o_orderpriority"""
+FROM {orders} WHERE o_orderstatus = :status GROUP BY o_orderpriority"""
 
 
 def _sql_text(spark: SparkSession, root: str) -> DataFrame:
-    register_views(read_wholesale(spark, root))
-    return run_query(spark, _STATUS_SQL, {"status": "F"})
+    orders = read_wholesale(spark, root)["orders"]
+    return run_query(spark, _STATUS_SQL, {"status": "F"}, {"orders": orders})
 
 
 def _orders_by_status(spark: SparkSession, root: str) -> DataFrame:

@@ -60,13 +60,18 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/martlet-{spark.sparkContext.applicationId}"
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new folder in the scratch folder."""
+    return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as Parquet in the scratch folder and read it back.
 
     Cuts the lineage: a lost executor re-reads files instead of recomputing the
     fact join, and every later use prunes columns on the written table.
     """
-    path = f"{scratch_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -11,7 +11,20 @@ from martlet.functions import as_double, full_name, gross_revenue, net_of
 from martlet.sources.schemas import WHOLESALE
 
 
-TABLES = ("orders", "lines", "products", "categories", "customers", "sellers", "places", "shippers")
+TABLES = (
+    "orders",
+    "lines",
+    "products",
+    "categories",
+    "customers",
+    "sellers",
+    "places",
+    "shippers",
+    "suppliers",
+    "territories",
+)
+#: Totals that ``Star.with_shared`` takes.
+SHARED = ("order_values", "product_totals_charged", "product_totals_list", "seller_sums", "monthly_sales")
 
 Table = DataFrame | Callable[[], DataFrame]
 
@@ -19,15 +32,17 @@ Table = DataFrame | Callable[[], DataFrame]
 class Star:
     """Fact and dimension tables under common column names.
 
-    orders      order_id, customer_id, order_date, seller_id unless sellers are on the lines
+    orders      order_id, customer_id, order_date [shipper_id], seller_id unless sellers are on the lines
     lines       order_id, product_id, quantity, unit_price, discount, gross, net (doubles),
                 seller_id if the seller is recorded per line
-    products    product_id, product_name, category_id, list_price [discontinued, brand]
+    products    product_id, product_name, category_id, list_price [discontinued, brand, supplier_id]
     categories  category_id, category_name [description]
     customers   customer_id, customer_name [contact_name, city, country, segment, place_id]
     places      place_id, nation, region; absent if customers carry city and country
     sellers     seller_id, seller_name [first_name, last_name, title, hire_date]
     shippers    shipper_id, shipper_name; absent if the source has none
+    suppliers   supplier_id, supplier_name; who delivers a product; absent if the source has none
+    territories seller_id, territory_id, territory, sales_region; a seller may have several
 
     Columns in brackets exist where the source has them. A table may be given as a
     function, which is called when an analysis first needs the table.
@@ -50,7 +65,10 @@ class Star:
         self._tables = tables
 
     def with_shared(self, **frames: DataFrame) -> Star:
-        """The same star with totals that are already computed, by name."""
+        """The same star with totals that are already computed, by name (one of ``SHARED``)."""
+        unknown = set(frames) - set(SHARED)
+        if unknown:
+            raise ValueError(f"unknown totals {sorted(unknown)}; known are {SHARED}")
         return Star({**self.shared, **frames}, self.orders_checked, **self._tables)
 
     def with_orders_checked(self) -> Star:
@@ -62,6 +80,10 @@ class Star:
         """
         return Star(self.shared, True, **self._tables)
 
+    def with_tables(self, **tables: Table) -> Star:
+        """A star with other tables in place of its own, and without totals of the old ones."""
+        return Star(None, self.orders_checked, **{**self._tables, **tables})
+
     def has(self, table: str) -> bool:
         return table in self._tables
 
@@ -89,7 +111,11 @@ def star_from_retail(tables: Mapping[str, DataFrame]) -> Star:
     gross = gross_revenue(clean("unit_price"), c("quantity"))
     return Star(
         orders=tables["orders"].select(
-            "order_id", "customer_id", c("employee_id").alias("seller_id"), "order_date"
+            "order_id",
+            "customer_id",
+            c("employee_id").alias("seller_id"),
+            "order_date",
+            c("ship_via").alias("shipper_id"),
         ),
         lines=tables["order_details"].select(
             "order_id",
@@ -106,6 +132,7 @@ def star_from_retail(tables: Mapping[str, DataFrame]) -> Star:
             "category_id",
             clean("unit_price").alias("list_price"),
             c("discontinued").cast("boolean").alias("discontinued"),
+            "supplier_id",
         ),
         categories=tables["categories"].select("category_id", "category_name", "description"),
         customers=tables["customers"].select(
@@ -124,6 +151,18 @@ def star_from_retail(tables: Mapping[str, DataFrame]) -> Star:
             "hire_date",
         ),
         shippers=tables["shippers"].select("shipper_id", c("company_name").alias("shipper_name")),
+        suppliers=tables["suppliers"].select("supplier_id", c("company_name").alias("supplier_name")),
+        territories=lambda: (
+            tables["employee_territories"]
+            .join(tables["territories"], "territory_id")
+            .join(tables["region"], "region_id")
+            .select(
+                c("employee_id").alias("seller_id"),
+                "territory_id",
+                F.rtrim("territory_description").alias("territory"),
+                F.rtrim("region_description").alias("sales_region"),
+            )
+        ),
     )
 
 
@@ -140,8 +179,8 @@ def star_from_parquet(spark: SparkSession, root: str) -> Star:
     """Star over the wholesale tables (``orders``, ``lineitem``, ``part``, ...).
 
     There the line already carries price times quantity, the seller is the
-    line's supplier, the part type is the category, and a customer's place is
-    its nation and region.
+    line's supplier, the part type is the category, a customer's place is its
+    nation and region, and a seller's territory is the supplier's nation.
     """
     c = F.col
 
@@ -193,6 +232,11 @@ def star_from_parquet(spark: SparkSession, root: str) -> Star:
     def sellers() -> DataFrame:
         return read("supplier").selectExpr("s_suppkey AS seller_id", "s_name AS seller_name")
 
+    def territories() -> DataFrame:
+        return read("supplier").join(places(), c("s_nationkey") == c("place_id")).selectExpr(
+            "s_suppkey AS seller_id", "place_id AS territory_id", "nation AS territory", "region AS sales_region"
+        )
+
     return Star(
         orders=orders,
         lines=lines,
@@ -201,4 +245,5 @@ def star_from_parquet(spark: SparkSession, root: str) -> Star:
         customers=customers,
         places=places,
         sellers=sellers,
+        territories=territories,
     )
