@@ -329,7 +329,8 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
     )
     member = nodes.select(F.explode("bands").alias("bucket"), "node").distinct()
     firsts = member.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("a")).where("n > 1")
-    firsts = firsts.withColumnRenamed("bucket", "_bucket")
+    # Written too: a join with its own aggregate would not be split where a bucket is hot.
+    firsts = saved(firsts.withColumnRenamed("bucket", "_bucket"), "firsts")
     buckets = saved(
         member.join(firsts, F.col("bucket") == F.col("_bucket")).select("bucket", "a", F.col("node").alias("b"), "n"), "buckets"
     )
@@ -339,7 +340,8 @@ def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column:
 
     among = candidates.select(F.col("a").alias("_id")).union(candidates.select(F.col("b").alias("_id")))
     wide = buckets.where("n > 2 and a <> b").select(F.col("b").alias("_id"))
-    used = among.union(wide).distinct()
+    # Written, so that its size is known: as long as it is small, the texts stay where they are.
+    used = saved(among.union(wide).distinct(), "used")
     chosen = texts.join(used, F.col("doc_id") == F.col("_id"), "left_semi").withColumnRenamed("doc_id", "node")
     search = _Search(saved(chosen.mapInArrow(_elements, "node long, size long, units binary"), "elements"))
     search.settle(candidates)
