@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,10 +25,10 @@ from martlet.llm import (
 )
 from martlet.llm.common import table
 
-#: Where the public tokenizers' files are, on every machine.
-TOKENIZERS = os.environ.get("MARTLET_TOKENIZERS", "/opt/tokenizers")
-WORD_BPE = f"{TOKENIZERS}/word_bpe_49k.json"
-BYTE_RANKS = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
+#: Files of public tokenizers, which every machine has.
+WORD_BPE = str(public_tokenizers.path("word_bpe_49k.json"))
+BYTE_BPE = str(public_tokenizers.path("byte_bpe_50k.json"))
+BYTE_RANKS = str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 RULES = [
     url_filter.Rule("net", "/", "block"),

@@ -6,10 +6,12 @@ files. ORC writes integers run-length encoded in stripes, with row indexes of th
 least and greatest value of each column and Bloom filters on doc_id, so that
 stripes are read in parallel and a lookup by id skips those without it.
 
-Encoding: the tokenizer treats white space as a border, so a text's ids are those
-of its words one after another. Each word is encoded once in a while and kept in a
-bounded cache. A text with any other white space than space, tab, line feed and
-carriage return, or with ``<|`` (special tokens), is encoded whole.
+Encoding: a tokenizer that drops white space before it merges anything gives a text
+the ids of its words one after another. Its rules are read at the start; if they say
+so, each word is encoded once in a while, together with others, and kept in a cache
+of bounded bytes. A text with any other white space than space, tab, line feed and
+carriage return, or with ``<|`` (special tokens), is encoded whole, and so is every
+text for any other tokenizer.
 
 Defined cases: a null text is empty and has the end id alone; a null doc_id sorts
 first; rows with one doc_id are ordered by text; an empty table writes a file
@@ -18,11 +20,14 @@ without rows; further columns are not read.
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 import types
 import zlib
+from array import array
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +39,37 @@ from pyspark.sql import functions as F
 from martlet.llm.common import pick, scratch_path
 
 END_ID = 1
-#: Words that a worker keeps at most; the cache starts anew beyond that.
-CACHE_WORDS = 2_000_000
-#: White space besides the four split characters, and the start of special tokens.
-_ODD = re.compile("<\\||[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
-_SPLIT = re.compile("[ \t\n\r]+")
+#: Memory of a worker's word cache, about; it starts anew beyond that.
+CACHE_BYTES = 128 << 20
+#: What a cached word takes besides its characters and ids: entry, text and number.
+_ENTRY = 160
+#: Characters that are encoded at once: words that are not in the cache, joined by spaces, or whole texts.
+PIECE = 32_000
+#: White space besides space, tab, line feed and carriage return, and the start of special tokens.
+_ODD = re.compile("<\\||[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Latin letters with marks behind; no apostrophe, with which contractions begin.
+_LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+#: Fixed value: how a tokenizer cuts texts for which words can be encoded one by one.
+_WORDWISE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SCHEMA = "doc_id long, range int, local_start long, n_tokens long, ids array<int>"
 
 
+def by_words(rules: dict) -> bool:
+    """Whether a tokenizer, given as its file's content, drops white space before it merges anything."""
+    cleaned = [n["type"] for n in (rules.get("normalizer") or {}).get("normalizers", [])]
+    cuts = (rules.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+    first = cuts[0]
+    return (
+        cleaned == ["NFC", "Replace", "Lowercase"]
+        and first.get("type") == "Split"
+        and first.get("pattern") == {"Regex": _WORDWISE}
+        and (first.get("behavior"), first.get("invert")) == ("Removed", True)
+        and [(c["type"], c.get("add_prefix_space"), c.get("use_regex")) for c in cuts[1:]] == [("ByteLevel", False, False)]
+        and not rules.get("truncation")
+        and not rules.get("padding")
+    )
+
+
 def _kept(path: str) -> types.SimpleNamespace:
     """The tokenizer and the word cache of this Python worker, over all its tasks."""
     name = f"_martlet_tokenizer:{path}"
@@ -49,63 +77,115 @@ def _kept(path: str) -> types.SimpleNamespace:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        sys.modules[name] = types.SimpleNamespace(tokenizer=Tokenizer.from_file(path), words={})
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        tokenizer = Tokenizer.from_file(path)
+        merges = Tokenizer(tokenizer.model)
+        bytewise = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), bytewise])
+        sys.modules[name] = types.SimpleNamespace(
+            tokenizer=tokenizer,
+            merges=merges,
+            by_words=by_words(json.loads(tokenizer.to_str())),
+            number={"": 0},
+            start=array("q", [0, 0]),
+            ids=array("i"),
+            bytes=0,
+        )
     return sys.modules[name]
 
 
+def _pieces(words: list[str]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Stretches of words of about ``PIECE`` characters, and where each word ends when they are joined by spaces."""
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    i = 0
+    while i < len(words):
+        before = ends[i - 1] if i else 0
+        j = max(i + 1, int(np.searchsorted(ends, before + PIECE, "right")))
+        yield i, j, ends[i:j] - before
+        i = j
+
+
 class WordEncoder:
-    """Ids of texts by the tokenizer in ``path``, through a cache of words."""
+    """Ids of texts by the tokenizer in ``path``, through a cache of words.
+
+    The cache holds the ids of all words one after another, and where each begins.
+    """
 
     def __init__(self, path: str):
         self.kept = _kept(path)
 
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        made = self.kept.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, np.int32) for e in made]
-
-    def _lookup(self, words: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
-        """For each word its number, and the ids by number."""
-        known = self.kept.words
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        number: dict[str, int] = {}
-        which = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
-        new = [w for w in number if w not in known]
-        # A word of ASCII letters and final marks has the ids of the letters, then those of the marks.
-        parts = {w: (c, w[len(c) :]) for w in new if (c := w.rstrip(".,;:!?|")) != w and c.isascii() and c.isalpha()}
-        more = dict.fromkeys(x for pair in parts.values() for x in pair if x not in known)
-        whole = list(dict.fromkeys([w for w in new if w not in parts] + list(more)))
-        known.update(zip(whole, self._encode(whole), strict=True))
-        for w, (core, marks) in parts.items():
-            known[w] = np.concatenate((known[core], known[marks]))
-        return which, [known[w] for w in number]
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.kept.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
+
+    def _add(self, words: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
+        kept = self.kept
+        kept.number.update(zip(words, range(len(kept.number), len(kept.number) + len(words)), strict=True))
+        kept.start.frombytes((kept.start[-1] + np.cumsum(sizes)).astype(np.int64).tobytes())
+        kept.ids.frombytes(ids.astype(np.int32).tobytes())
+        kept.bytes += sum(map(len, words)) + _ENTRY * len(words) + ids.nbytes
+
+    def _add_whole(self, words: list[str]) -> None:
+        """Encode words joined by spaces and cut the ids where the words begin."""
+        for i, j, ends in _pieces(words):
+            made = self.kept.tokenizer.encode(" ".join(words[i:j]), add_special_tokens=False)
+            begin = np.fromiter(map(itemgetter(0), made.offsets), np.int64, len(made))
+            word = np.searchsorted(ends, begin, "right")
+            self._add(words[i:j], np.bincount(word, minlength=j - i), np.array(made.ids, np.int32))
+
+    def _add_plain(self, words: list[str]) -> None:
+        """The same for words that the tokenizer would neither change nor cut: only its merges are left to do."""
+        for i, j, _ in _pieces(words):
+            made = self.kept.merges.encode(" ".join(words[i:j]), add_special_tokens=False)
+            self._add(words[i:j], np.bincount(made.word_ids, minlength=j - i), np.array(made.ids, np.int32))
+
+    def _learn(self, words: set[str]) -> None:
+        """Put words into the cache that it does not have."""
+        kept = self.kept
+        if kept.bytes > CACHE_BYTES:
+            kept.number, kept.start, kept.ids, kept.bytes = {"": 0}, array("q", [0, 0]), array("i"), 0
+        known = kept.number
+        new = words.difference(known)
+        # Letters and marks are cut from each other before they are merged, and letters are lower-cased.
+        parts = {w: (w.lower(), "") for w in new if w.isascii() and w.isalpha()}
+        parts |= {w: (m[1].lower(), m[2]) for w in new if w not in parts and (m := _LETTERS.fullmatch(w))}
+        self._add_whole(list(new.difference(parts)))
+        plain = {letters for letters, _ in parts.values()}
+        plain.update(marks for _, marks in parts.values())
+        self._add_plain(list(plain.difference(known)))
+        parts = {w: pair for w, pair in parts.items() if w not in known}
+        if parts:
+            which = np.array([(known[letters], known[marks]) for letters, marks in parts.values()])
+            ids, sizes = self._gather(which.ravel())
+            self._add(list(parts), sizes.reshape(-1, 2).sum(axis=1), ids)
+
+    def _gather(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of cached words one after another, and how many each has."""
+        start = np.frombuffer(self.kept.start, np.int64)
+        flat = np.frombuffer(self.kept.ids, np.int32) if len(self.kept.ids) else np.zeros(0, np.int32)
+        sizes = start[which + 1] - start[which]
+        total = np.cumsum(sizes)
+        at = np.repeat(start[which] - (total - sizes), sizes) + np.arange(total[-1] if len(total) else 0)
+        return flat[at], sizes
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by the end id, and how many each has."""
         words, counts, whole = [], [], {}
         for i, text in enumerate(texts):
             text = text or ""
-            if _ODD.search(text):
-                whole[i] = self._encode([text])[0]
+            if not self.kept.by_words or _ODD.search(text):
+                whole[i] = self._encode(text)
                 counts.append(0)
                 continue
-            own = [w for w in _SPLIT.split(text) if w]
+            own = text.split()
             counts.append(len(own))
             words += own
-        which, ids = self._lookup(words)
-        size = np.array([len(x) for x in ids] or [0], np.int64)
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-        begin = np.cumsum(size) - size
-        per_word = size[which]
-        total = np.cumsum(per_word)
-        at = np.repeat(begin[which] - (total - per_word), per_word) + np.arange(total[-1] if len(total) else 0)
-        flat = flat[at]
-        upto = np.concatenate(([0], total))[np.cumsum([0, *counts])]
+        self._learn(set(words))
+        ids, sizes = self._gather(np.fromiter(map(self.kept.number.__getitem__, words), np.int64, len(words)))
+        upto = np.append(0, np.cumsum(sizes))[np.cumsum([0, *counts])]
         pieces = []
         for i in range(len(texts)):
-            pieces += [whole.get(i, flat[upto[i] : upto[i + 1]]), [END_ID]]
+            pieces += [whole.get(i, ids[upto[i] : upto[i + 1]]), [END_ID]]
         n = np.array([len(pieces[2 * i]) + 1 for i in range(len(texts))], np.int64)
         return np.concatenate(pieces).astype(np.int32) if pieces else np.zeros(0, np.int32), n
 

@@ -282,6 +282,46 @@ def test_tokens_round_trip(spark, tmp_path):
     assert one.count() == 1
 
 
+@pytest.mark.parametrize(("tokenizer", "by_words"), [(queries.WORD_BPE, True), (queries.BYTE_BPE, False)])
+def test_tokens_whatever_the_tokenizer_and_the_cache(tokenizer, by_words, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_files, "CACHE_BYTES", 2000)
+    monkeypatch.setattr(token_files, "PIECE", 40)
+    encode, plain = token_files.WordEncoder(tokenizer), Tokenizer.from_file(tokenizer)
+    assert encode.kept.by_words == by_words
+    draw = random.Random(3)
+    words = ["".join(draw.choice("aZéÀßÿŒΣſ.'7,|*&! \u0301") for _ in range(draw.randint(1, 9))) for _ in range(300)]
+    for _ in range(20):
+        texts = [" ".join(draw.choices(words, k=50)), None, "", "it's", "x" * 200, " lead\u2003odd <|endoftext|>"]
+        ids, n = encode(texts)
+        want = [[*plain.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+        assert n.tolist() == [len(w) for w in want]
+        assert ids.tolist() == sum(want, [])
+
+
+def test_token_files_are_pruned(spark, tmp_path):
+    import pyarrow.orc as orc
+
+    path = str(tmp_path / "tokens")
+    table = frame(spark, [(i, f"text of number {i}") for i in range(0, 12000, 2)], "doc_id long, text string")
+    token_files.write_tokens(table, path, queries.WORD_BPE, ranges=2)
+    parts = sorted(tmp_path.glob("tokens/part-*"))
+    files = [orc.ORCFile(p) for p in parts]
+    assert sum(f.nrows for f in files) == 6000 and all(f.nstripes == 1 for f in files)
+    assert all(f.row_index_stride == 1000 for f in files)
+    # Each stripe's index holds Bloom filters of doc_id, so files are larger than without.
+    bare = str(tmp_path / "bare")
+    token_files.read_tokens(spark, path).coalesce(2).write.option("compression", "zstd").orc(bare)
+    assert sum(p.stat().st_size for p in parts) > sum(p.stat().st_size for p in tmp_path.glob("bare/part-*"))
+    for doc_id, most in ((2000, 1000), (2001, 0), (99999, 0)):
+        one = token_files.read_tokens(spark, path).where(f"doc_id = {doc_id}")
+        assert one.count() == (most > 0)
+        one.collect()
+        scan = one._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+        assert scan.metrics().apply("numOutputRows").value() <= most
+
+
 def test_tokens_of_a_table(spark):
     from tokenizers import Tokenizer
 
@@ -320,7 +360,7 @@ def test_tokens_by_section(spark, rule):
 def test_section_tokens_add_up(spark):
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(f"{queries.TOKENIZERS}/byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(queries.BYTE_BPE)
     got = queries.op10_token_counts(spark, ROOT).groupBy("doc_id").agg(F.sum("n_tokens")).collect()
     texts = spark.read.parquet(f"{ROOT}/documents.parquet").collect()
     same(got, [(r.doc_id, len(tokenizer.encode(r.text, add_special_tokens=False).ids)) for r in texts])
