@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,9 +53,25 @@ def build_session(
     return builder.getOrCreate()
 
 
+#: Scratch folder of a local session that names none; see ``name_local_scratch``.
+_local: list[str] = []
+
+
+def name_local_scratch(spark: SparkSession) -> None:
+    """Give a local session without ``spark.checkpoint.dir`` a folder of its own.
+
+    All its executors are this process, so a folder of this machine is shared by them.
+    On a cluster nothing is done: there the setting is required.
+    """
+    context = spark.sparkContext
+    if not spark.conf.get("spark.checkpoint.dir", None) and context.master.startswith("local"):
+        if not context.master.startswith("local-cluster") and not _local:
+            _local.append(tempfile.mkdtemp(prefix="martlet-"))
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """Folder for intermediate tables: the shared folder named in ``spark.checkpoint.dir``."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or "".join(_local)
     if not shared:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
     return f"{shared.rstrip('/')}/martlet-{spark.sparkContext.applicationId}"
