@@ -2,35 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_local: dict[str, str] = {}
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in ``spark.checkpoint.dir``.
-
-    A local session without the setting (tests) gets a folder of its own; on a
-    cluster the setting is required, since machine-local files are lost there.
-    """
-    app = spark.sparkContext.applicationId
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/martlet-{app}"
-    if not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    if app not in _local:
-        _local[app] = tempfile.mkdtemp(prefix="martlet-llm-")
-    return _local[app]
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+from martlet.session import scratch_dir, scratch_path
 
 
 def saved(df: DataFrame, label: str) -> DataFrame:
