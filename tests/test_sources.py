@@ -81,7 +81,6 @@ def test_dump_converts_to_one_folder_per_table(spark, dump, tmp_path):
 @pytest.mark.parametrize(
     "statement",
     [
-        "INSERT INTO shippers VALUES (1, 'two\nlines', NULL);",
         "INSERT INTO shippers VALUES (1, 'too few');",
         "INSERT INTO shippers VALUES (99999, 'out of range', NULL);",
     ],
