@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from martlet.llm.common import pick
+from martlet.llm.common import pick, place
 
 SAMPLE_TEXTS = 400
 SAMPLE_BYTES = 110 << 10
@@ -142,7 +142,7 @@ def keep_identified(docs: DataFrame, content: dict[str, bytes]) -> DataFrame:
     """The rows of ``docs``, all columns, whose text is not rejected."""
     names = docs.columns
     plain = docs.toDF(*(f"_{i}" for i in range(len(names))))
-    text = f"_{[n.lower() for n in names].index('text')}"
+    text = f"_{place(docs, 'text')}"
     schema = StructType(list(plain.schema.fields)).add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
