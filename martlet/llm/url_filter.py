@@ -16,10 +16,11 @@ occurs in the corpus:
   through, and so on until a level lets nothing through wrongly.
 * A key is listed if the first level that does not hold it is an odd one.
 
-Each url is then judged by lookups in the filters, without a join. The level-0
-filter has ``BITS`` bits for each listed key and the others shrink with each level,
-so what tasks receive is bounded by the rule list, not the corpus;
-``max_filter_bytes`` is checked when they are built.
+Each url is then judged by lookups in the filters, without a join. A filter has
+``BITS`` bits a key; that of level 0 has more if the corpus has many keys, so that about
+as many of them pass as are listed. The others shrink with each level. What tasks
+receive thus grows with the rule list, and with the fifth root of the corpus's keys a
+rule; ``max_filter_bytes`` is checked when they are built.
 
 Defined cases: a null url, or one without ``://``, has empty host and path and no
 candidate; a key listed under both verdicts is blocked; repeated rows are judged
@@ -29,6 +30,7 @@ further columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -107,9 +109,14 @@ def candidates(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return F.array_distinct(F.transform(by_length, lambda x: x["key"]))
 
 
-def _filter(keys: DataFrame, count: int, level: int, max_bytes: int) -> np.ndarray:
+def _bits(listed: int, others: int) -> int:
+    """Bits a listed key with which no more than about ``listed`` of the other keys pass."""
+    return max(BITS, math.ceil(HASHES * (others / listed) ** (1 / HASHES)))
+
+
+def _filter(keys: DataFrame, count: int, level: int, max_bytes: int, bits_each: int = BITS) -> np.ndarray:
     """A filter of the ``count`` hashes in column ``h``, put together from parts of each partition."""
-    size = max(8, -(-count * BITS // 8))
+    size = max(8, -(-count * bits_each // 8))
     if size > max_bytes:
         raise ValueError(f"a filter of {size} bytes is over max_filter_bytes={max_bytes}")
 
@@ -139,7 +146,7 @@ def build(universe: DataFrame, max_bytes: int = MAX_FILTER_BYTES) -> Cascade:
     count, levels = inside.count(), []
     while count:
         level = len(levels)
-        bits = _filter(inside, count, level, max_bytes)
+        bits = _filter(inside, count, level, max_bytes, BITS if level else _bits(count, outside.count()))
         levels.append(bits)
         inside, outside = saved(let_through(outside, bits, level), f"level{level}"), inside
         count = inside.count()

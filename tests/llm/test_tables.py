@@ -57,6 +57,17 @@ def test_cascade_is_exact_for_many_rules(spark):
     same(url_filter.judge(pages, rules).collect(), want)
 
 
+def test_first_filter_passes_about_as_many_keys_as_are_listed():
+    for listed, others in [(4, 100), (4, 200_000), (500, 200_000)]:
+        size = max(8, -(-listed * url_filter._bits(listed, others) // 8))
+        keys = np.arange(1, listed + others + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        at = url_filter.places(keys[:listed], 8 * size, 0).ravel().astype(np.int64)
+        bits = np.zeros(size, np.uint8)
+        np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        assert url_filter.holds(bits, keys[:listed], 0).all()
+        assert url_filter.holds(bits, keys[listed:], 0).sum() <= 4 * listed + 10
+
+
 def linked(rows):
     ok = [
         j
