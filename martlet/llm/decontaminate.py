@@ -14,7 +14,9 @@ units are fewer still, all words are, so that such a window is found as it stand
 of one text and item on one alignment and in one way of reading either count together,
 and each value in the item's placeholders must stand for one value of the text: a
 question asked again with other numbers or names is caught, two of which may be equal
-now, an unrelated text of the same shape is not. A text is contaminated if
+now, an unrelated text of the same shape is not. Windows next to each other that are
+equal word by word and span ``SPAN`` tokens of the item are a leak whatever else stands
+in the text; they report no slots. Otherwise a text is contaminated if
 the hits on one alignment span ``SPAN`` tokens of the item, or the whole item if it is
 shorter. Stretches of that length that hold windows dense in placeholders are joined as
 a whole too if they have ``LITERALS`` plain words or units, so that dense questions are
@@ -271,8 +273,10 @@ def _leaks(texts: DataFrame, bench: DataFrame) -> DataFrame:
     joined = joined.withColumn("reading", F.explode("readings")).withColumn("item_reading", F.explode("item_readings"))
     both = F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b"))
     at = F.struct("size", "item_pos")
+    same = (F.col("size") == WINDOW) & (F.col("slots") == F.col("item_slots"))
     aligned = joined.groupBy("id", "key", "item_id", "shift", "reading", "item_reading").agg(
         F.max("length").alias("length"),
+        F.sort_array(F.collect_set(F.when(same, F.col("item_pos")))).alias("same_at"),
         *(
             column
             for label, rows in (("open", F.col("open")), ("all", F.lit(True)))
@@ -283,13 +287,21 @@ def _leaks(texts: DataFrame, bench: DataFrame) -> DataFrame:
         ),
     )
     # Dense windows can complete an alignment, but not refute one that the others make up alone.
-    found = [_judged(aligned, label) for label in ("open", "all")]
+    found = [_verbatim(), *(_judged(aligned, label) for label in ("open", "all"))]
     leaks = aligned.select("id", "key", "item_id", F.explode(F.array(*found)).alias("found")).where("found is not null")
     return leaks.groupBy("id", "key", "item_id").agg(
         F.max("found.n_tokens").cast("int").alias("n_tokens"), F.max("found.n_slots").alias("n_slots")
     )
 
 
+def _verbatim() -> Column:
+    """Tokens spanned by the longest run of windows equal word by word, null if fewer than ``SPAN``."""
+    runs = F.transform("same_at", lambda at, i: at - i)
+    longest = F.array_max(F.transform(F.array_distinct(runs), lambda run: F.size(F.filter(runs, lambda x: x == run))))
+    n_tokens = longest + WINDOW - 1
+    return F.when(n_tokens >= SPAN, F.struct(n_tokens.alias("n_tokens"), F.lit(0).alias("n_slots")))
+
+
 def _judged(aligned: DataFrame, label: str) -> Column:
     """Tokens spanned and slots, null if the hits are too few or their slots conflict."""
     at, pairs = F.col(f"{label}_at"), F.col(f"{label}_pairs")

@@ -186,12 +186,25 @@ def test_asked_again_with_other_values(spark):
     ]
     items = frame(spark, [(7, ITEM), (8, None), (9, ""), (10, "3 4 5")], "item_id long, text string")
     found = decontaminate.find_leaks(docs(spark, rows), clashing(items))
-    same(found.select("doc_id", "item_id").collect(), [(1, 7), (6, 7), (None, 7)])
+    # The second text has 17 tokens of the item as they stand.
+    same(found.select("doc_id", "item_id").collect(), [(1, 7), (2, 7), (6, 7), (None, 7)])
     kept = decontaminate.drop_leaks(docs(spark, rows), items)
-    same(kept.select("doc_id").collect(), [(2,), (3,), (4,), (5,)])
+    same(kept.select("doc_id").collect(), [(3,), (4,), (5,)])
     assert kept.columns == docs(spark, rows).columns
 
 
+def test_a_verbatim_stretch_beside_other_values(spark):
+    words = ITEM.split()
+    other = {"Tom": "Jim", "12": "9"}
+
+    def changed(keep):
+        """The words as they stand up to ``keep``, then values that conflict, then other words."""
+        return " ".join([*words[:keep], *(other.get(w, w) for w in words[keep:])])
+
+    texts = [changed(15), "so it goes on " + " ".join(words[:12]) + " and so on", " ".join(words[:13]) + " and so on"]
+    same(found_pairs(spark, texts, [ITEM]), [(0, 0), (2, 0)])
+
+
 DENSE = [
     "Car travels 60 km in 2 hours how far",
     "a car travels 60 km in 2 hours how far is it",
@@ -392,6 +405,18 @@ def test_language_of_odd_texts(spark):
     assert language.identify(docs(spark, rows), {}).where("lang_pred <> 'und'").isEmpty()
 
 
+def test_language_beside_a_column_that_differs_in_case(spark):
+    table = spark.read.parquet(f"{ROOT}/documents.parquet")
+    content = language.train(table)
+    rows = frame(spark, [("12 34", i, "the and of with that " * 20) for i in range(3)], "other string, doc_id long, text string")
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        kept = language.keep_identified(rows.withColumnRenamed("other", "Text"), content)
+        assert kept.columns == ["Text", "doc_id", "text"] and kept.count() == 3
+    finally:
+        spark.conf.unset("spark.sql.caseSensitive")
+
+
 def test_licenses(spark):
     apache = licenses.TEMPLATES["Apache-2.0"].replace("applicable", "relevant").replace("governing", "ruling")
     rows = [
