@@ -70,9 +70,7 @@ class Cascade:
 
 def places(keys: np.ndarray, size: int, level: int) -> np.ndarray:
     """The bits of each key in a filter of ``size`` bits, one row for each hash."""
-    one, two = mix(keys, 50 + level), mix(keys, 90 + level) | np.uint64(1)
-    with np.errstate(over="ignore"):
-        return np.stack([(one + np.uint64(i) * two) % np.uint64(size) for i in range(HASHES)])
+    return np.stack([mix(keys, 50 + HASHES * level + i) % np.uint64(size) for i in range(HASHES)])
 
 
 def holds(bits: np.ndarray, keys: np.ndarray, level: int) -> np.ndarray:
