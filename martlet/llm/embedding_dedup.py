@@ -86,6 +86,8 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for dim in np.unique(dims):
             part = batch.filter(pa.array(dims == dim))
             x = part.column("v").flatten().to_numpy().reshape(len(part), dim)
+            # By powers of two, which rounds nothing, so that squares neither overflow nor vanish.
+            x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
             unit = x / np.linalg.norm(x, axis=1, keepdims=True)
             if dim not in known:
                 known[dim] = directions(int(dim))

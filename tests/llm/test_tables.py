@@ -68,6 +68,13 @@ def test_first_filter_passes_about_as_many_keys_as_are_listed():
         assert url_filter.holds(bits, keys[listed:], 0).sum() <= 4 * listed + 10
 
 
+def test_vectors_of_extreme_length(spark):
+    rows = [(1, [1e-200, 0.0]), (2, [2e-200, 0.0]), (3, [1e200, 0.0]), (4, [1.0, 0.0]), (5, [0.0, 1e300]), (6, [0.0, 5e-324])]
+    made = embedding_dedup.link_vectors(frame(spark, rows, "vec_id long, embedding array<double>"))
+    got = made.select("vec_id", "n_links", "component_id").collect()
+    same(got, [*((i, 3, 1) for i in range(1, 5)), (5, 1, 5), (6, 1, 5)])
+
+
 def linked(rows):
     ok = [
         j
