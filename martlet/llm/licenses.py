@@ -6,6 +6,13 @@ in the same way; a gap without anchors is aligned by longest common subsequence.
 Coverage is the share of the template's words that are aligned. In a place no two
 aligned words are further apart than in the template by more than ``GAP`` words.
 
+Licenses differ by few words, so coverage alone does not name one. Templates of fewer
+than ``NOTICE_WORDS`` words need all of them. Words of ``TELLING`` and version numbers
+that a template has must be aligned, and so must those of ``ASKED``. A text is cut at
+such a word, or such a number after ``version`` and the like, that a template does not
+have: a place of "CC BY 4.0" never runs over an "SA". Templates without any such word
+are not cut. ``0`` tells nothing, as version 3 is version 3.0.
+
 A text is first looked at word by word, all texts of a batch at once: positions of
 template words, with no more than ``GAP`` other words between two of them, form
 stretches, and a stretch is aligned with a template only if its words could cover
@@ -38,10 +45,42 @@ from martlet.llm.common import mix, pick
 from martlet.llm.words import Sums, _byte_codes, chunks
 
 COVERAGE, GAP = 0.8, 6
+#: Templates with fewer words than this are notices, which need full coverage.
+NOTICE_WORDS = 20
 #: Gaps without anchors are aligned word by word up to this many cells; beyond that, split where nothing is lost.
 CELLS = 1 << 16
 
-#: License texts and notices, as published.
+#: License texts, the headers of the long ones, and notices that name a license.
+_GPL = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
+    "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
+    "option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY "
+    "WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the "
+    "GNU General Public License for more details."
+)
+_BSD_CLAUSES = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
+    "the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, "
+    "this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the "
+    "above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other "
+    "materials provided with the distribution. "
+)
+_BSD_THIRD = (
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+    "products derived from this software without specific prior written permission. "
+)
+_BSD_DISCLAIMER = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED "
+    "WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR "
+    "PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, "
+    "INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE "
+    "GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF "
+    "LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY "
+    "OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_CC_TERMS = {"NC": "NonCommercial", "ND": "NoDerivatives", "SA": "ShareAlike"}
+_CC = ["BY", "BY-NC", "BY-ND", "BY-SA", "BY-NC-ND", "BY-NC-SA"]
+
 TEMPLATES = {
     "MIT": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
@@ -55,7 +94,7 @@ TEMPLATES = {
         "DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN "
         "CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
     ),
-    "MIT-notice": "Released under the MIT License.",
+    "MIT-notice": "under the MIT License",
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
         "compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 "
@@ -63,31 +102,43 @@ TEMPLATES = {
         "distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. "
         "See the License for the specific language governing permissions and limitations under the License."
     ),
-    "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
-    "GPL-3.0": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
-        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
-        "option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY "
-        "WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the "
-        "GNU General Public License for more details."
-    ),
-    "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
-    "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "Apache-2.0-notice": "under the Apache License, Version 2.0",
+    "GPL-2.0": _GPL.replace("version 3", "version 2"),
+    "GPL-2.0-notice": "under the GNU General Public License, version 2",
+    "GPL-3.0": _GPL,
+    "GPL-3.0-notice": "under the GNU General Public License, version 3",
+    "AGPL-3.0": _GPL.replace("GNU General", "GNU Affero General"),
+    "AGPL-3.0-notice": "under the GNU Affero General Public License, version 3",
+    "LGPL-2.1-notice": "under the GNU Lesser General Public License, version 2.1",
+    "LGPL-3.0-notice": "under the GNU Lesser General Public License, version 3",
     "ISC": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
         "granted, provided that the above copyright notice and this permission notice appear in all copies. THE "
         "SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING "
-        "ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."
-    ),
-    "BSD-2-Clause": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
-        "the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, "
-        "this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the "
-        "above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other "
-        "materials provided with the distribution."
+        "ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, "
+        "DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR "
+        "PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION "
+        "WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
     ),
+    "ISC-notice": "under the ISC License",
+    "BSD-2-Clause": _BSD_CLAUSES + _BSD_DISCLAIMER,
+    "BSD-3-Clause": _BSD_CLAUSES + _BSD_THIRD + _BSD_DISCLAIMER,
+    **{f"CC-{code}-4.0-notice": f"under CC {code} 4.0" for code in _CC},
+    **{
+        f"CC-{code}-4.0-deed": "under Creative Commons "
+        + "-".join(["Attribution", *(_CC_TERMS[k] for k in code.split("-")[1:])])
+        + " 4.0 International License"
+        for code in _CC
+    },
 }
+#: Words that tell licenses apart, words before a version number, and words that relatives of a text lack.
+TELLING = frozenset(
+    "mit isc bsd apache gnu mozilla eclipse creative cc cc0 lesser library affero nc noncommercial commercial "
+    "sa sharealike alike nd noderivatives noderivs derivatives".split()
+)
+BEFORE_VERSION = frozenset("version v by nc nd sa attribution noncommercial noderivatives sharealike".split())
+ASKED = {"MIT": "conditions", "ISC": "appear", "BSD-2-Clause": "reproduce", "BSD-3-Clause": "endorse"}
+_DIGITS = "1 2 3 4 5 6 7 8 9".split()
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -246,13 +297,13 @@ def _chains(template: list[int], own: list[int], position: list[int], need: floa
 
 
 class _Scanner:
-    def __init__(self, templates: Mapping[str, str], coverage: float):
+    def __init__(self, templates: Mapping[str, str], coverage: float, notice_words: int):
         self.names = sorted(templates)
         self.words = [words(templates[n]) for n in self.names]
         if not all(self.words):
             raise ValueError("a template has at least one word")
-        self.coverage = coverage
-        known = sorted({w for t in self.words for w in t})
+        telling, before, digits = ({w.encode() for w in x} for x in (TELLING, BEFORE_VERSION, _DIGITS))
+        known = sorted({w for t in self.words for w in t} | telling | before | digits)
         data = np.frombuffer(b" ".join(known) + b" ", np.uint8)
         ends = np.cumsum([len(w) + 1 for w in known], dtype=np.int64) - 1
         codes = _codes(data, ends - np.array([len(w) for w in known], np.int64), ends)
@@ -263,7 +314,28 @@ class _Scanner:
         self.counts = np.zeros((len(known), len(self.names)), np.int32)
         for t, own in enumerate(self.lists):
             np.add.at(self.counts[:, t], own, 1)
-        self.needed = np.array([len(t) for t in self.lists]) * coverage
+        self.needed = np.array([len(t) * (coverage if len(t) >= notice_words else 1.0) for t in self.lists])
+        self.telling, self.before, self.digit = (
+            np.array([w in x for w in sorted(number, key=number.get)]) for x in (telling, before, digits)
+        )
+        # Per template: its telling words, and where in it those stand first that must be aligned.
+        self.own, self.asked = [], []
+        for name, t in zip(self.names, self.lists, strict=True):
+            codes = np.array(t)
+            own = set(codes[self.telling[codes] | self._versions(codes, np.arange(len(t)))].tolist())
+            self.own.append(own)
+            more = {number[w] for w in words(ASKED.get(name, "")) if w in number}
+            self.asked.append({t.index(x) for x in own | more if x in t})
+
+    def _versions(self, number: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Which of the words are the first or second number of a version."""
+        next_ = np.zeros(len(number), bool)
+        next_[1:] = np.diff(place) == 1
+        first = self.digit[number] & next_
+        first[1:] &= self.before[number[:-1]]
+        second = self.digit[number] & next_
+        second[1:] &= first[:-1]
+        return first | second
 
     def scan(self, data: np.ndarray, at: np.ndarray):
         """For each text and template found: text, template, coverage, first and last word, places."""
@@ -290,22 +362,27 @@ class _Scanner:
         could = np.zeros((stretch[-1] + 1, len(self.names)), np.int32)
         np.add.at(could, pairs // len(self.codes), self.counts[pairs % len(self.codes)])
         heads = np.append(np.flatnonzero(new), len(hit))
+        rival = self.telling[number] | self._versions(number, hit + text)
         best: dict[tuple[int, int], list] = {}
         for s, t in zip(*np.nonzero(could >= self.needed[None, :]), strict=True):
             a, b = heads[s], heads[s + 1]
             d = int(text[a])
             found = best.setdefault((d, int(t)), [0, 0, 0, 0])
-            for matched, x, y in self._places(self.lists[t], number[a:b].tolist(), (hit[a:b] - first[d]).tolist()):
-                found[3] += 1
-                if matched > found[0] or matched == found[0] and x < found[1]:
-                    found[:3] = [matched, x, y]
+            cuts = []
+            if self.own[t]:
+                cuts = [k for k in (np.flatnonzero(rival[a:b]) + a).tolist() if int(number[k]) not in self.own[t]]
+            for c, e in zip([a, *(k + 1 for k in cuts)], [*cuts, b], strict=True):
+                for matched, x, y in self._places(int(t), number[c:e].tolist(), (hit[c:e] - first[d]).tolist()):
+                    found[3] += 1
+                    if matched > found[0] or matched == found[0] and x < found[1]:
+                        found[:3] = [matched, x, y]
         for (d, t), (matched, x, y, places) in best.items():
             if places:
                 yield d, t, matched / len(self.lists[t]), x, y, places
 
-    def _places(self, template: list[int], own: list[int], position: list[int]):
+    def _places(self, t: int, own: list[int], position: list[int]):
         """Places of the template in one stretch; what a place used is cut out before the next."""
-        need = self.coverage * len(template)
+        template, need, asked = self.lists[t], self.needed[t], self.asked[t]
         while parts := _candidates(template, own, position, need):
             used: set[int] = set()
             for a, b in parts:
@@ -313,10 +390,12 @@ class _Scanner:
                     c, d = a + chain[0][1], a + chain[-1][1] + 1
                     free = [j for j in range(c, d) if j not in used]
                     run = self._dense(patience(template, [own[j] for j in free]), [position[j] for j in free])
-                    places = [free[j] for _, j in run] if len(run) >= len(chain) else [a + j for _, j in chain]
+                    pairs = [(i, free[j]) for i, j in run] if len(run) >= len(chain) else [(i, a + j) for i, j in chain]
+                    places = [j for _, j in pairs]
                     if used.isdisjoint(places):
                         used.update(places)
-                        yield len(places), position[places[0]], position[places[-1]]
+                        if asked <= {i for i, _ in pairs}:
+                            yield len(places), position[places[0]], position[places[-1]]
             if not used:
                 return
             keep = [j for j in range(len(own)) if j not in used]
@@ -338,9 +417,9 @@ def _codes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix(Sums.of(_byte_codes(8)[_LOWER[data]]).stretch(start, end), 8)
 
 
-def _scan(templates: Mapping[str, str], coverage: float):
+def _scan(templates: Mapping[str, str], coverage: float, notice_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = _Scanner(templates, coverage)
+        scanner = _Scanner(templates, coverage, notice_words)
         for batch in batches:
             for part, data, at in chunks(batch, "text"):
                 rows = list(scanner.scan(data, at))
@@ -364,6 +443,7 @@ def scan_licenses(
     templates: Mapping[str, str] = TEMPLATES,
     *,
     coverage: float = COVERAGE,
+    notice_words: int = NOTICE_WORDS,
     id_column: str = "doc_id",
     text_column: str = "text",
 ) -> DataFrame:
@@ -372,4 +452,4 @@ def scan_licenses(
     schema = "doc_id long, license string, coverage double, first_word int, last_word int, places int"
     if not templates:
         return rows.sparkSession.createDataFrame([], schema)
-    return rows.mapInArrow(_scan(dict(templates), coverage), schema)
+    return rows.mapInArrow(_scan(dict(templates), coverage, notice_words), schema)
