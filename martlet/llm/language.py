@@ -10,13 +10,17 @@ the whole text count. A margin below ``UNSURE`` is looked at again at a higher
 compression level, which finds shorter matches and decides. ``score`` is the margin to the runner-up as a share of what
 ``CLEAR`` asks for, at most 1.
 
-The dictionaries come from a bounded sample: ``SAMPLE_TEXTS`` texts of a language,
-those with the least hash of id and text, with ``SAMPLE_BYTES`` of content from
-them at most. The prediction reads the text alone.
+The dictionaries come from a bounded sample: ``SAMPLE_TEXTS`` texts of a language
+(those with the least hash of id and text; of texts that fall in the same one of
+``SAMPLE_BINS`` bins of hashes only the least), with ``SAMPLE_BYTES`` of content from
+them at most, of which each gives an equal share from its beginning, of ``SAMPLE_SHARE``
+bytes at least. Texts of any length train, and fewer texts give longer shares. Hashes
+are reduced to bins before they are exchanged, and texts are read for the sample only.
+The prediction reads the text alone.
 
 Defined cases: a null text or one without letters is ``und``, score 0 and
 rejected; a tie goes to the language that sorts first, with score 0; rows with a
-null label train nothing; without any labelled row every text is ``und``; repeated
+null label or text train nothing, and repeated rows train once; without any labelled row every text is ``und``; repeated
 rows are predicted alike; further columns are not read.
 """
 
@@ -36,6 +40,7 @@ from martlet.llm.common import pick, place
 
 SAMPLE_TEXTS = 400
 SAMPLE_BYTES = 110 << 10
+SAMPLE_BINS, SAMPLE_SHARE = 64 * SAMPLE_TEXTS, 200
 PIECE = 2048
 LEVEL, SECOND_LEVEL = 5, 19
 #: Margins, as shares of the runner-up's size: below the first a text is rejected, from the second on score is 1.
@@ -53,19 +58,20 @@ def held_out(id_column: Column, folds: int = 5) -> Column:
 
 def dictionaries(labelled: DataFrame) -> dict[str, bytes]:
     """Raw content by language, from columns doc_id, text and lang."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"), "text")
-    # Only so much of each text is of use to a dictionary; the texts predicted are whole.
-    part = labelled.where("lang is not null and length(text) >= 20").select(
-        "doc_id", "lang", F.substring("text", 1, 2000).alias("text")
+    rows = labelled.where("lang is not null and text <> ''").withColumn("h", F.xxhash64("doc_id", "text"))
+    bins = rows.groupBy("lang", F.pmod("h", F.lit(SAMPLE_BINS)).alias("bin")).agg(F.min("h").alias("h"))
+    ranked = bins.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(f"n <= {SAMPLE_TEXTS}")
+    chosen = ranked.select(
+        F.col("lang").alias("_lang"), F.col("h").alias("_h"), F.count("*").over(Window.partitionBy("lang")).alias("of")
     )
-    rows = part.withColumn("n", F.row_number().over(order)).where(f"n <= {SAMPLE_TEXTS}")
+    share = F.greatest(F.floor(F.lit(SAMPLE_BYTES) / F.col("of")), F.lit(SAMPLE_SHARE)).cast("int")
+    part = rows.join(chosen, (F.col("lang") == F.col("_lang")) & (F.col("h") == F.col("_h")))
+    part = part.select("lang", "h", share.alias("share"), F.substring("text", F.lit(1), share).alias("text"))
     found: dict[str, list[bytes]] = {}
-    for r in rows.orderBy("lang", "n").select("lang", "text").collect():  # bounded by the sample
-        found.setdefault(r["lang"], []).append(_folded(r["text"]))
-    each = {lang: max(1, SAMPLE_BYTES // len(texts)) for lang, texts in found.items()}
-    return {
-        lang: b"\n".join(t[: max(each[lang], 200)] for t in texts)[:SAMPLE_BYTES] for lang, texts in found.items()
-    }
+    # Bounded by the sample: repeated rows are one, and no text is longer than its share.
+    for r in part.distinct().orderBy("lang", "h", "text").collect():
+        found.setdefault(r["lang"], []).append(_folded(r["text"])[: r["share"]])
+    return {lang: b"\n".join(texts)[:SAMPLE_BYTES] for lang, texts in found.items()}
 
 
 def _folded(text: str) -> bytes:

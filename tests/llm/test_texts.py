@@ -417,6 +417,19 @@ def test_language_beside_a_column_that_differs_in_case(spark):
         spark.conf.unset("spark.sql.caseSensitive")
 
 
+def test_short_and_few_texts_train(spark):
+    """A language of texts under 20 characters is learned, and one long text gives a whole dictionary."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    cut = F.expr("case when lang = 'fr' then left(text, 18) else text end")
+    labels = table.withColumn("text", cut)
+    content = language.train(labels.union(labels))
+    assert content == language.train(labels) and set(content) == {"de", "en", "es", "fr"}
+    assert 1000 < len(content["fr"]) <= 19 * language.SAMPLE_TEXTS
+    assert all(len(c) <= language.SAMPLE_BYTES for c in content.values())
+    one = frame(spark, [(1, "mot " * 9000, "fr"), (2, None, "de"), (3, "", "de")], "doc_id long, text string, lang string")
+    assert language.train(one) == {"fr": b"mot " * 9000}
+
+
 def test_licenses(spark):
     apache = licenses.TEMPLATES["Apache-2.0"].replace("applicable", "relevant").replace("governing", "ruling")
     rows = [
