@@ -65,7 +65,8 @@ def dictionaries(labelled: DataFrame) -> dict[str, bytes]:
         F.col("lang").alias("_lang"), F.col("h").alias("_h"), F.count("*").over(Window.partitionBy("lang")).alias("of")
     )
     share = F.greatest(F.floor(F.lit(SAMPLE_BYTES) / F.col("of")), F.lit(SAMPLE_SHARE)).cast("int")
-    part = rows.join(chosen, (F.col("lang") == F.col("_lang")) & (F.col("h") == F.col("_h")))
+    # As large as the sample, SAMPLE_TEXTS rows a language, so that no text is exchanged.
+    part = rows.join(F.broadcast(chosen), (F.col("lang") == F.col("_lang")) & (F.col("h") == F.col("_h")))
     part = part.select("lang", "h", share.alias("share"), F.substring("text", F.lit(1), share).alias("text"))
     found: dict[str, list[bytes]] = {}
     # Bounded by the sample: repeated rows are one, and no text is longer than its share.
