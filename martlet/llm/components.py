@@ -28,18 +28,26 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return rows.where("a <> b").distinct()
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each node hangs on one lesser node at most, and on none if others hang on it."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+        edges.select("b", F.lit(0), F.lit(1))
+    )
+    sums = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return sums.where("up > 1 or up > 0 and down > 0").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node``, ``root`` (the least node of its component) for nodes other than roots.
 
-    ``links`` has columns a and b. Sums of a node's links are combined before each
+    ``links`` has columns a and b; rows with a null are left out, and an empty table
+    gives an empty result. Sums of a node's links are combined before each
     exchange and a node with very many links is split by the adaptive join. Each
-    round is written once; rounds grow with the logarithm of the longest chain.
+    round is written once; rounds grow with the logarithm of the longest chain, and links
+    that are stars already take none.
     """
-    edges = saved(links.where("a <> b").select("a", "b").distinct(), "links")
-    before = None
-    while True:
-        state = edges.select(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if state == before or not state[0]:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = state
+    down = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    edges = saved(down.distinct(), "links")
+    while not _are_stars(edges):
         edges = saved(_small_star(_large_star(edges)), "stars")
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

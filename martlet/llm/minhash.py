@@ -286,7 +286,7 @@ class _Search:
 
     def __init__(self, elements: DataFrame):
         self.elements = elements
-        self.decided: DataFrame | None = None
+        self.refused: DataFrame | None = None
         self.roots: DataFrame | None = None
 
     def settle(self, candidates: DataFrame) -> None:
@@ -295,25 +295,23 @@ class _Search:
         while True:
             rows = _with_root(_with_root(candidates, self.roots, "a", "root_a"), self.roots, "b", "root_b")
             rows = rows.where("root_a <> root_b").select("a", "b", "matches")
-            if self.decided is not None:
-                rows = rows.join(self.decided.select("a", "b"), ["a", "b"], "left_anti")
+            if self.refused is not None:
+                rows = rows.join(self.refused, ["a", "b"], "left_anti")
             best = Window.partitionBy("b").orderBy(F.desc("matches"), "a")
             rows = rows.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= most).select("a", "b")
             made = saved(_pairs(rows, self.elements, "units").mapInArrow(_similar, "a long, b long, linked boolean"), "decided")
             if made.isEmpty():
                 return
-            self.decided = made if self.decided is None else self.decided.union(made)
-            if not made.where("linked").isEmpty():
-                self.roots = components(self.decided.where("linked"))
+            self.link(made.where("linked").select("a", "b"))
+            # Linked pairs are of one class from now on.
+            refused = made.where("not linked").select("a", "b")
+            self.refused = refused if self.refused is None else self.refused.union(refused)
             most *= 8
 
     def link(self, found: DataFrame) -> None:
-        """Add links that are decided already."""
+        """Add links to the classes so far, of which only each node's root is looked at again."""
         if not found.isEmpty():
-            links = found.select("a", "b")
-            if self.decided is not None:
-                links = links.union(self.decided.where("linked").select("a", "b"))
-            self.roots = components(links)
+            self.roots = components(found if self.roots is None else found.union(self.roots.select("node", "root")))
 
 
 def near_duplicates(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
