@@ -139,6 +139,16 @@ _DIMENSION_KEYS = {
     "shipper_id": "shipper_id",
     "shipper_name": "shipper_id",
 }
+# Attribute that a dimension only has the key of -> that key, and the table that is joined on it.
+_OUTER = {
+    "nation": ("place_id", "places"),
+    "region": ("place_id", "places"),
+    "category_name": ("category_id", "categories"),
+    "supplier_name": ("supplier_id", "suppliers"),
+    "shipper_name": ("shipper_id", "shippers"),
+}
+# Dimension key -> the table that must have it.
+_DIMENSIONS = {"customer_id": "customers", "product_id": "products", "seller_id": "sellers"}
 # Attributes of the seller's territories, of which there may be several.
 _SEVERAL = ("territory_id", "territory", "sales_region")
 _ADDITIVE = ("line_count", "quantity", "gross_revenue", "net_revenue")
@@ -166,21 +176,9 @@ def _checked(star: Star, by: tuple[str, ...]) -> None:
         raise ValueError("the source has no territories")
 
 
-def exact_measures(star: Star, *by: str) -> DataFrame:
-    """Additive measures by any attributes of the dimensions, as exact decimals.
-
-    Only the dimensions in use are joined, after the lines have been summed on
-    the dimension keys. Attributes of territories go through the bridge: see
-    ``_allocated``.
-    """
-    _checked(star, by)
-    plain = [a for a in by if a not in _SEVERAL]
-    several = [a for a in by if a in _SEVERAL]
-    dates = [a for a in plain if a in _DATES]
-    dimensions = {_DIMENSION_KEYS[a] for a in plain if a in _DIMENSION_KEYS}
-    dimensions = sorted(dimensions | {"seller_id"} if several else dimensions)
+def _summed_on_key(star: Star, by: tuple[str, ...], dates: list[str], dimensions: list[str]) -> DataFrame:
+    """Measures by one date attribute or dimension key, or by several as asked for, with the dimensions' attributes."""
     keys = dates + dimensions
-
     order_keys = [k for k in dimensions if k not in star.lines.columns]
     orders = star.orders.selectExpr("order_id", *order_keys, *[f"{_DATES[d]} AS {d}" for d in dates])
     if set(dimensions) == set(order_keys):
@@ -207,6 +205,66 @@ def exact_measures(star: Star, *by: str) -> DataFrame:
         rows = rows.join(star.shippers, "shipper_id") if "shipper_name" in by else rows
     if "seller_id" in dimensions:
         rows = rows.join(star.sellers, "seller_id")
+    return rows
+
+
+def _summed_on_attributes(
+    star: Star, plain: list[str], dates: list[str], dimensions: list[str], by_seller: bool
+) -> DataFrame:
+    """Measures by several attributes, and by seller too if asked for.
+
+    Customers, and whatever else an order leads to, are joined to the orders, so that
+    lines move once to meet them, and once for each dimension that is recorded per line.
+    Names that a dimension only has the key of are joined to the sums.
+    """
+    columns = {k: [] for k in dimensions}
+    for a in plain:
+        if a in _DIMENSION_KEYS:
+            columns[_DIMENSION_KEYS[a]].append(_OUTER[a][0] if a in _OUTER else a)
+    if by_seller:
+        columns["seller_id"].append("seller_id")
+
+    def attached(rows: DataFrame, keys: list[str]) -> DataFrame:
+        for key in keys:
+            if key in _DIMENSIONS:
+                own = dict.fromkeys([key, *columns[key]])
+                rows = rows.join(getattr(star, _DIMENSIONS[key]).select(*own), key)
+        return rows
+
+    order_keys = [k for k in dimensions if k not in star.lines.columns]
+    line_keys = [k for k in dimensions if k in star.lines.columns]
+    orders = star.orders.selectExpr("order_id", *order_keys, *[f"{_DATES[d]} AS {d}" for d in dates])
+    orders = attached(orders, order_keys)
+    on = list(dict.fromkeys([*dates, *(c for own in columns.values() for c in own)]))
+    if line_keys:
+        rows = _summed_lines(attached(star.lines.join(orders, "order_id"), line_keys), on)
+    else:
+        rows = _added(_summed_lines(star.lines, ["order_id"]).join(orders, "order_id"), on)
+    for key, table in dict.fromkeys(_OUTER[a] for a in plain if a in _OUTER):
+        rows = rows.join(getattr(star, table), key)
+    return rows
+
+
+def exact_measures(star: Star, *by: str) -> DataFrame:
+    """Additive measures by any attributes of the dimensions, as exact decimals.
+
+    Only the dimensions in use are joined. By a single dimension the lines are summed on
+    its key before the join. Several keys, or a date and a key, tell nearly all lines
+    apart, so that sums by them would be as many and wider: there the attributes are
+    joined first. Attributes of territories go through the bridge: see ``_allocated``.
+    """
+    _checked(star, by)
+    plain = [a for a in by if a not in _SEVERAL]
+    several = [a for a in by if a in _SEVERAL]
+    dates = [a for a in plain if a in _DATES]
+    dimensions = {_DIMENSION_KEYS[a] for a in plain if a in _DIMENSION_KEYS}
+    dimensions = sorted(dimensions | {"seller_id"} if several else dimensions)
+    keys = dates + dimensions
+
+    if len(keys) > 1 and keys != list(by):
+        rows = _summed_on_attributes(star, plain, dates, dimensions, bool(several))
+    else:
+        rows = _summed_on_key(star, by, dates, dimensions)
     if several:
         rows = _allocated(_added(rows, list(dict.fromkeys([*plain, "seller_id"]))), star)
     if several or keys != list(by):

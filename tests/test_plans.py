@@ -135,6 +135,17 @@ def test_lines_are_read_once(spark, no_broadcast, name, scans):
     assert len(re.findall(r"FileScan parquet \[l_", query(spark, name))) == scans
 
 
+@needs_data
+@pytest.mark.parametrize("by", [("month", "category_name", "region", "nation"), ("year", "category_name")])
+def test_lines_are_summed_on_few_values(spark, no_broadcast, by):
+    # Sums by customer and product, or by month and product, would be nearly as many as the lines, and wider.
+    star = star_from_parquet(spark, ROOT)
+    plan = executed(final_plan(model.exact_measures(star, *by)))
+    summed = re.findall(r"HashAggregate\(keys=\[([^\]]*)\]", plan) or re.findall(r"HashAggregate.*keys=\[([^\]]*)\]", plan)
+    assert summed and not [keys for keys in summed if "customer_id" in keys or "product_id" in keys]
+    assert len(re.findall(r"FileScan parquet \[l_", plan)) == 1
+
+
 @needs_data
 def test_scans_read_only_needed_columns_and_push_filters(spark, no_broadcast):
     plan = query(spark, "kpi_summary")
