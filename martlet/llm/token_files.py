@@ -8,8 +8,9 @@ stripes are read in parallel and a lookup by id skips those without it.
 
 Encoding: a tokenizer that drops white space before it merges anything gives a text
 the ids of its words one after another. Its rules are read at the start; if they say
-so, each word is encoded once in a while, together with others, and kept in a cache
-of bounded bytes. A text with any other white space than space, tab, line feed and
+so, the texts of a slice are cut into words and these into letters and the marks behind
+them as Arrow columns, so that Python sees each distinct part once a slice. A part is
+encoded once in a while and kept in a cache of bounded bytes. A text with any other white space than space, tab, line feed and
 carriage return, or with ``<|`` (special tokens), is encoded whole, and so is every
 text for any other tokenizer.
 
@@ -21,12 +22,12 @@ without rows; further columns are not read.
 from __future__ import annotations
 
 import json
-import re
 import sys
 import types
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 from operator import itemgetter
 
 import numpy as np
@@ -43,12 +44,14 @@ END_ID = 1
 CACHE_BYTES = 128 << 20
 #: What a cached word takes besides its characters and ids: entry, text and number.
 _ENTRY = 160
-#: Characters that are encoded at once: words that are not in the cache, joined by spaces, or whole texts.
+#: Characters of words that are encoded at once, joined by spaces.
 PIECE = 32_000
 #: White space besides space, tab, line feed and carriage return, and the start of special tokens.
-_ODD = re.compile("<\\||[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_ODD = "<\\||[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 #: Latin letters with marks behind; no apostrophe, with which contractions begin.
-_LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+_LETTERS = r"^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-&(-/:-@\[-`{-~]*)$"
+#: Bytes of text that are encoded at once.
+SLICE = 2 << 20
 #: Fixed value: how a tokenizer cuts texts for which words can be encoded one by one.
 _WORDWISE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SCHEMA = "doc_id long, range int, local_start long, n_tokens long, ids array<int>"
@@ -80,12 +83,10 @@ def _kept(path: str) -> types.SimpleNamespace:
         from tokenizers import Tokenizer, pre_tokenizers
 
         tokenizer = Tokenizer.from_file(path)
-        merges = Tokenizer(tokenizer.model)
-        bytewise = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), bytewise])
         sys.modules[name] = types.SimpleNamespace(
             tokenizer=tokenizer,
-            merges=merges,
+            model=tokenizer.model,
+            bytewise=pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False),
             by_words=by_words(json.loads(tokenizer.to_str())),
             number={"": 0},
             start=array("q", [0, 0]),
@@ -106,6 +107,14 @@ def _pieces(words: list[str]) -> Iterator[tuple[int, int, np.ndarray]]:
         i = j
 
 
+def _taken(flat: np.ndarray, start: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches of ``flat``, each from its start to the next one's, one after another, and how long each is."""
+    sizes = start[which + 1] - start[which]
+    total = np.cumsum(sizes)
+    at = np.repeat(start[which] - (total - sizes), sizes) + np.arange(total[-1] if len(total) else 0)
+    return flat[at], sizes
+
+
 class WordEncoder:
     """Ids of texts by the tokenizer in ``path``, through a cache of words.
 
@@ -125,64 +134,62 @@ class WordEncoder:
         kept.ids.frombytes(ids.astype(np.int32).tobytes())
         kept.bytes += sum(map(len, words)) + _ENTRY * len(words) + ids.nbytes
 
-    def _add_whole(self, words: list[str]) -> None:
-        """Encode words joined by spaces and cut the ids where the words begin."""
+    def _whole(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids words have, and the ids: encoded joined by spaces, and cut where the words begin."""
+        sizes, ids = [], []
         for i, j, ends in _pieces(words):
             made = self.kept.tokenizer.encode(" ".join(words[i:j]), add_special_tokens=False)
             begin = np.fromiter(map(itemgetter(0), made.offsets), np.int64, len(made))
-            word = np.searchsorted(ends, begin, "right")
-            self._add(words[i:j], np.bincount(word, minlength=j - i), np.array(made.ids, np.int32))
+            sizes.append(np.bincount(np.searchsorted(ends, begin, "right"), minlength=j - i))
+            ids.append(np.array(made.ids, np.int32))
+        return np.concatenate(sizes), np.concatenate(ids)
 
-    def _add_plain(self, words: list[str]) -> None:
+    def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The same for words that the tokenizer would neither change nor cut: only its merges are left to do."""
-        for i, j, _ in _pieces(words):
-            made = self.kept.merges.encode(" ".join(words[i:j]), add_special_tokens=False)
-            self._add(words[i:j], np.bincount(made.word_ids, minlength=j - i), np.array(made.ids, np.int32))
-
-    def _learn(self, words: set[str]) -> None:
-        """Put words into the cache that it does not have."""
+        merge, bytewise = self.kept.model.tokenize, self.kept.bytewise.pre_tokenize_str
+        made = [[t.id for t in merge(w if w.isascii() else bytewise(w)[0][0])] for w in words]
+        sizes = np.fromiter(map(len, made), np.int64, len(made))
+        return sizes, np.fromiter(chain.from_iterable(made), np.int32, int(sizes.sum()))
+
+    def _numbers(self, distinct: pa.Array, encode: Callable) -> np.ndarray:
+        """Numbers of words in the cache, where those that it does not have are put."""
+        known, words = self.kept.number, distinct.to_pylist()
+        new = [w for w in words if w not in known]
+        if new:
+            self._add(new, *encode(new))
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+
+    def _ids(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words one after another, and how many each has."""
         kept = self.kept
         if kept.bytes > CACHE_BYTES:
             kept.number, kept.start, kept.ids, kept.bytes = {"": 0}, array("q", [0, 0]), array("i"), 0
-        known = kept.number
-        new = words.difference(known)
         # Letters and marks are cut from each other before they are merged, and letters are lower-cased.
-        parts = {w: (w.lower(), "") for w in new if w.isascii() and w.isalpha()}
-        parts |= {w: (m[1].lower(), m[2]) for w in new if w not in parts and (m := _LETTERS.fullmatch(w))}
-        self._add_whole(list(new.difference(parts)))
-        plain = {letters for letters, _ in parts.values()}
-        plain.update(marks for _, marks in parts.values())
-        self._add_plain(list(plain.difference(known)))
-        parts = {w: pair for w, pair in parts.items() if w not in known}
-        if parts:
-            which = np.array([(known[letters], known[marks]) for letters, marks in parts.values()])
-            ids, sizes = self._gather(which.ravel())
-            self._add(list(parts), sizes.reshape(-1, 2).sum(axis=1), ids)
-
-    def _gather(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of cached words one after another, and how many each has."""
-        start = np.frombuffer(self.kept.start, np.int64)
-        flat = np.frombuffer(self.kept.ids, np.int32) if len(self.kept.ids) else np.zeros(0, np.int32)
-        sizes = start[which + 1] - start[which]
-        total = np.cumsum(sizes)
-        at = np.repeat(start[which] - (total - sizes), sizes) + np.arange(total[-1] if len(total) else 0)
-        return flat[at], sizes
-
-    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        parts = pc.extract_regex(distinct, _LETTERS)
+        cut = parts.is_valid()
+        number = np.zeros((len(distinct), 2), np.int64)
+        at = cut.to_numpy(zero_copy_only=False)
+        for k, name in enumerate(("letters", "marks")):
+            own = pc.utf8_lower(pc.struct_field(parts.filter(cut), name)).dictionary_encode()
+            number[at, k] = self._numbers(own.dictionary, self._plain)[own.indices.to_numpy()]
+        number[~at, 0] = self._numbers(distinct.filter(pc.invert(cut)), self._whole)
+        ids, sizes = _taken(self._flat(), np.frombuffer(kept.start, np.int64), number.ravel())
+        return ids, sizes.reshape(-1, 2).sum(axis=1)
+
+    def _flat(self) -> np.ndarray:
+        return np.frombuffer(self.kept.ids, np.int32) if len(self.kept.ids) else np.zeros(0, np.int32)
+
+    def __call__(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by the end id, and how many each has."""
-        words, counts, whole = [], [], {}
-        for i, text in enumerate(texts):
-            text = text or ""
-            if not self.kept.by_words or _ODD.search(text):
-                whole[i] = self._encode(text)
-                counts.append(0)
-                continue
-            own = text.split()
-            counts.append(len(own))
-            words += own
-        self._learn(set(words))
-        ids, sizes = self._gather(np.fromiter(map(self.kept.number.__getitem__, words), np.int64, len(words)))
-        upto = np.append(0, np.cumsum(sizes))[np.cumsum([0, *counts])]
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        odd = pc.match_substring_regex(texts, _ODD) if self.kept.by_words else pa.array([True] * len(texts), pa.bool_())
+        whole = {i: self._encode(texts[i].as_py()) for i in np.flatnonzero(odd).tolist()}
+        words = pc.ascii_split_whitespace(pc.if_else(odd, pa.scalar("", texts.type), texts))
+        counts = pc.list_value_length(words).to_numpy()
+        found = words.flatten().dictionary_encode()
+        own, sizes = self._ids(found.dictionary)
+        ids, sizes = _taken(own, np.append(0, np.cumsum(sizes)), found.indices.to_numpy())
+        upto = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(counts))]
         pieces = []
         for i in range(len(texts)):
             pieces += [whole.get(i, ids[upto[i] : upto[i + 1]]), [END_ID]]
@@ -206,8 +213,8 @@ def _encoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, place, start = WordEncoder(path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for a, b in slices(batch.column("text"), 2 << 20):
-                ids, n = encode(batch.column("text").slice(a, b - a).to_pylist())
+            for a, b in slices(batch.column("text"), SLICE):
+                ids, n = encode(batch.column("text").slice(a, b - a))
                 ends = np.cumsum(n)
                 yield pa.record_batch(
                     {

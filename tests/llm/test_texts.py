@@ -313,6 +313,22 @@ def test_tokens_whatever_the_tokenizer_and_the_cache(tokenizer, by_words, monkey
         assert ids.tolist() == sum(want, [])
 
 
+def test_words_are_learnt_once_whatever_their_case_and_marks():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    encode, plain = token_files.WordEncoder(queries.WORD_BPE), Tokenizer.from_file(queries.WORD_BPE)
+    kept = encode.kept
+    texts = ["Grünxq grünxq, GRÜNXQ; grünxq.", None, "\tgrünxq,\r\nzwqv  Grünxq;;; "]
+    before = len(kept.number)
+    ids, n = encode(pa.array(texts))
+    learnt = list(kept.number)[before:]
+    assert sorted(w for w in learnt if w[0].isalpha()) == ["grünxq", "zwqv"]
+    assert all(w.isalpha() or w in (",", ";", ".", ";;;") for w in learnt)
+    want = [[*plain.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+    assert (n.tolist(), ids.tolist()) == ([len(w) for w in want], sum(want, []))
+
+
 def test_token_files_are_pruned(spark, tmp_path):
     import pyarrow.orc as orc
 
