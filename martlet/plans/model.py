@@ -237,7 +237,9 @@ def _summed_on_attributes(
     orders = attached(orders, order_keys)
     on = list(dict.fromkeys([*dates, *(c for own in columns.values() for c in own)]))
     if line_keys:
-        rows = _summed_lines(attached(star.lines.join(orders, "order_id"), line_keys), on)
+        needless = star.orders_checked and not dates and not order_keys
+        lines = star.lines if needless else star.lines.join(orders, "order_id")
+        rows = _summed_lines(attached(lines, line_keys), on)
     else:
         rows = _added(_summed_lines(star.lines, ["order_id"]).join(orders, "order_id"), on)
     for key, table in dict.fromkeys(_OUTER[a] for a in plain if a in _OUTER):
